@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from .cells import NUMBER_PATTERN, half_width, num, strip, value, without_spaces, SPACE_RUN
+from .cells import NUMBER_PATTERN, SPACE_RUN, bind, half_width, mark, num, strip, text, value, without_spaces
 
 # Words read as booleans.
 TRUE_WORDS = ("是", "true", "yes", "y", "t", "1", "对", "正确", "通过", "完成", "成功")
@@ -146,10 +146,8 @@ def _cn_step(s: Column, token: Column) -> Column:
 
     ``unit`` is the unit right before a digit, 0 when a zero stands between.
     """
-    unit = F.lit(0.0)
-    for name, weight in _UNITS.items():
-        unit = F.when(token == name, weight).otherwise(unit)
-    zero = F.lit(0.0)
+    weights = F.create_map(*[F.lit(x) for pair in _UNITS.items() for x in pair])
+    unit, zero = F.coalesce(F.try_element_at(weights, token), F.lit(0.0)), F.lit(0.0)
     below = s["low"] + s["digit"]
     return (
         F.when(unit == 0, _cn_state(s["high"], s["mid"], s["low"], token.try_cast("double"),
@@ -166,15 +164,8 @@ def _cn_total(s: Column) -> Column:
     return s["high"] + s["mid"] + s["low"] + s["digit"] * place
 
 
-def cn_number(c) -> Column:
-    """Chinese or mixed numeral as a number, null when there is none or the value is 0.
-
-    Digit and unit forms are translated, the whole part is split into tokens
-    and folded; digits after 元 are tenths, hundredths and thousandths.
-    """
-    raw = F.regexp_replace(without_spaces(c), "[约大概左右多余-]", "")
-    negative = raw.rlike("^[负負]")
-    plain = F.regexp_replace(F.translate(raw, CN_DIGIT_FORMS + CN_UNIT_FORMS, CN_DIGIT_VALUES + CN_UNIT_VALUES), "^[负負]", "")
+def _cn_plain(plain: Column) -> Column:
+    """Value of a numeral written with plain digits and units, null when it is none."""
     small_only = plain.rlike("^[^块元圆]*[毛角分厘]")
     whole = F.when(small_only, "").otherwise(F.regexp_extract(plain, "^([^块元圆钱]*)", 1))
     small = F.when(small_only, plain).otherwise(F.regexp_extract(plain, "[块元圆](.*)$", 1))
@@ -182,8 +173,29 @@ def cn_number(c) -> Column:
     fraction = F.coalesce(F.concat(F.lit("0."), tenths).try_cast("double"), F.lit(0.0))
     tokens = F.regexp_extract_all(whole, F.lit(_NUMERAL), 1)
     total = F.round(F.aggregate(tokens, _cn_state(0.0, 0.0, 0.0, 0.0, 0.0), _cn_step, _cn_total) + fraction, 4)
-    readable = plain.rlike("^[0-9.十百千万亿]*[块元圆钱]?[0-9毛角分厘]*$") & plain.rlike("[0-9十百千万亿]")
-    return F.when(readable & (total != 0), F.when(negative, -total).otherwise(total))
+    shape = plain.rlike("^[0-9.十百千万亿]*[块元圆钱]?[0-9毛角分厘]*$") & plain.rlike("[0-9十百千万亿]")
+    return F.when(shape, F.nullif(total, F.lit(0.0)))
+
+
+def _cn_signed(raw: Column) -> Column:
+    written = raw.rlike(f"[{CN_DIGIT_FORMS}{CN_UNIT_FORMS}{CN_UNIT_VALUES}.]")
+    unsigned = F.regexp_replace(F.translate(raw, CN_DIGIT_FORMS + CN_UNIT_FORMS, CN_DIGIT_VALUES + CN_UNIT_VALUES), "^[负負]", "")
+    sign = F.when(raw.rlike("^[负負]"), -1.0).otherwise(1.0)
+    return F.when(written, bind(unsigned, _cn_plain) * sign)
+
+
+def cn_number(c) -> Column:
+    """Chinese or mixed numeral as a number, null when there is none or the value is 0.
+
+    Digit and unit forms are translated, the whole part is split into tokens
+    and folded; digits after 元 are tenths, hundredths and thousandths.
+    """
+    return bind(F.regexp_replace(without_spaces(c), "[约大概左右多余-]", ""), _cn_signed)
+
+
+def cn_number_text(c) -> Column:
+    """``cn_number`` as text without a trailing ``.0``."""
+    return mark(bind(cn_number(c), lambda n: text(mark(n, "double"))), "text")
 
 
 # --- formats -----------------------------------------------------------------

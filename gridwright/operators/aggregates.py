@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.cells import col, isnull_empty, num_in, round_half_up, tidy
+from ..functions.cells import cell, col, isnull_empty, num, round_half_up, tidy
 from ..streaming.guard import batch_only
 
 METHODS = ("SUM", "AVG", "COUNT", "MAX", "MIN")
@@ -16,7 +16,7 @@ def numeric_cell(df: DataFrame, name: str) -> Column:
     """Number in a cell; decimals stay decimal so that their sums are exact."""
     if isinstance(df.schema[name].dataType, T.DecimalType):
         return col(name)
-    return num_in(df, name)
+    return num(cell(df, name))
 
 
 def measure(df: DataFrame, name: str, method: str, decimals: int | None = None) -> Column:
@@ -28,7 +28,7 @@ def measure(df: DataFrame, name: str, method: str, decimals: int | None = None)
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
     if method == "COUNT":
-        return F.count_if(~isnull_empty(col(name)))
+        return F.count_if(~isnull_empty(cell(df, name)))
     c = numeric_cell(df, name)
     total = F.sum(c).cast("double")
     out = {

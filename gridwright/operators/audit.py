@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.cells import col, isnull_blank, num, strip, text
+from ..functions.cells import cell, col, isnull_blank, mark, num, strip, text
 from ..functions.standardize import (
-    cn_number, date_valid, email_fixed, email_valid, id_card_acceptable, phone_valid, without_spaces,
+    cn_number_text, date_valid, email_fixed, email_valid, id_card_acceptable, phone_valid, without_spaces,
 )
 from ..streaming.guard import batch_only
 from .duplicates import duplicate_rows
@@ -44,7 +44,7 @@ def roles_by_title(df: DataFrame) -> dict[str, list[str]]:
 def audit_stats(df: DataFrame, columns=None) -> DataFrame:
     """One row: rows, columns, blank cells, blank rows and columns per type."""
     names = list(columns or df.columns)
-    flags = [F.when(isnull_blank(col(n)), 1).otherwise(0) for n in names]
+    flags = [F.when(isnull_blank(cell(df, n)), 1).otherwise(0) for n in names]
     blanks = sum(flags[1:], flags[0])
     types = [df.schema[n].dataType for n in names]
     numeric = sum(isinstance(t, T.NumericType) for t in types)
@@ -100,8 +100,8 @@ def _mostly_numbers(df: DataFrame, names: list[str]) -> DataFrame:
     """One row: for each text column, whether it has at least 5 values and more than half are numbers."""
     parts = []
     for i, n in enumerate(names):
-        given = ~isnull_blank(col(n))
-        filled, numeric = F.count_if(given), F.count_if(given & num(col(n)).isNotNull())
+        given = ~isnull_blank(cell(df, n))
+        filled, numeric = F.count_if(given), F.count_if(given & num(cell(df, n)).isNotNull())
         parts.append(((filled >= 5) & (numeric * 2 > filled)).alias(f"m{i}"))
     return df.agg(F.struct(*parts))
 
@@ -115,8 +115,8 @@ def anomaly_items(df: DataFrame, roles: dict[str, list[str]], as_of=None) -> lis
         mine = [r for r, names in roles.items() if n in names]
         if not mine:
             continue
-        raw = strip(text(col(n)))
-        given = ~isnull_blank(col(n))
+        raw = strip(text(cell(df, n)))
+        given = ~isnull_blank(cell(df, n))
         if "phone" in mine:
             items += _phone(n, raw, given)
         if "id_card" in mine:
@@ -130,26 +130,37 @@ def anomaly_items(df: DataFrame, roles: dict[str, list[str]], as_of=None) -> lis
                 items += _date(n, raw, given, today)
         if "amount" in mine:
             if isinstance(dtype, T.NumericType):
-                items.append(finding(num(col(n)) < 0, n, "amount_negative", detail="negative amount", original=raw))
+                items.append(finding(num(cell(df, n)) < 0, n, "amount_negative", detail="negative amount", original=raw))
             else:
                 items += _amount(n, raw, given)
     return items
 
 
+def _breaks(df: DataFrame, n: str, facts: str, i: int) -> Column:
+    """Whether a cell breaks a column that mostly holds numbers."""
+    return F.col(facts)[f"m{i}"] & ~isnull_blank(cell(df, n)) & num(cell(df, n)).isNull()
+
+
 def mismatch_items(df: DataFrame, names: list[str], facts: str = "_mostly") -> list[Column]:
     """Text cells in columns that mostly hold numbers; ``facts`` is the struct column of column facts."""
-    items = []
-    for i, n in enumerate(names):
-        raw = strip(col(n))
-        odd = F.col(facts)[f"m{i}"] & ~isnull_blank(col(n)) & num(col(n)).isNull()
-        value = cn_number(raw)
-        why = F.when(value.isNotNull(), "Chinese numeral").otherwise("not a number")
-        items.append(finding(odd, n, "format_mismatch", detail=why, original=raw, suggested=text(value), can_fix=value.isNotNull()))
-    return items
+    return [finding(_breaks(df, n, facts, i), n, "format_mismatch", original=strip(cell(df, n))) for i, n in enumerate(names)]
 
 
-def blank_items(names) -> list[Column]:
-    return [finding(isnull_blank(col(n)), n, "blank_cell", detail="no value") for n in names]
+def _spelt_out(found: DataFrame) -> DataFrame:
+    """Numerals are read on the few cells that were found, not on every cell of the table."""
+    mine = F.col("rule") == "format_mismatch"
+    read = found.withColumn("_spelt", F.when(mine, cn_number_text(mark(F.col("original_value"), "text"))))
+    known = F.col("_spelt").isNotNull()
+    changed = {
+        "detail": F.when(mine & known, "Chinese numeral").when(mine, "not a number").otherwise(F.col("detail")),
+        "suggested_value": F.coalesce("_spelt", "suggested_value"),
+        "can_auto_fix": F.when(mine, known).otherwise(F.col("can_auto_fix")),
+    }
+    return read.withColumns(changed).drop("_spelt")
+
+
+def blank_items(df: DataFrame, names) -> list[Column]:
+    return [finding(isnull_blank(cell(df, n)), n, "blank_cell", detail="no value") for n in names]
 
 
 def audit(df: DataFrame, row_id: str, roles: dict[str, list[str]] | None = None, columns=None, as_of=None,
@@ -165,7 +176,7 @@ def audit(df: DataFrame, row_id: str, roles: dict[str, list[str]] | None = None,
     items: list[Column] = []
     source = df
     if blanks:
-        items += blank_items(names)
+        items += blank_items(df, names)
     if anomalies:
         items += anomaly_items(df, {r: [c for c in cs if c in names] for r, cs in roles.items()}, as_of)
     texts = [n for n in names if isinstance(df.schema[n].dataType, T.StringType)]
@@ -173,6 +184,8 @@ def audit(df: DataFrame, row_id: str, roles: dict[str, list[str]] | None = None,
         source = df.withColumn("_mostly", _mostly_numbers(df, texts).scalar())
         items += mismatch_items(df, texts)
     found = row_findings(source, row_id, items)
+    if mismatches and texts:
+        found = _spelt_out(found)
     if duplicates:
         found = found.unionByName(duplicate_findings(df, row_id, names))
     return found
@@ -210,9 +223,9 @@ def recheck(df: DataFrame, old: DataFrame, edits: DataFrame, row_id: str, roles=
 def convert_cn_numbers(df: DataFrame, columns) -> DataFrame:
     """Chinese numerals to numbers in columns that mostly hold numbers; other cells are kept."""
     batch_only(df, "convert_cn_numbers")
-    marked = df.withColumn("_mostly", _mostly_numbers(df, list(columns)).scalar())
-    changed = {}
-    for i, n in enumerate(columns):
-        odd = F.col("_mostly")[f"m{i}"] & ~isnull_blank(col(n)) & num(col(n)).isNull()
-        changed[n] = F.when(odd, F.coalesce(text(cn_number(col(n))), col(n))).otherwise(col(n))
+    names = list(columns)
+    marked = df.withColumn("_mostly", _mostly_numbers(df, names).scalar())
+    changed = {
+        n: F.coalesce(F.when(_breaks(df, n, "_mostly", i), cn_number_text(cell(df, n))), col(n)) for i, n in enumerate(names)
+    }
     return marked.withColumns(changed).drop("_mostly")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.cells import col, isnull_like, num, text
+from ..functions.cells import cell, col, isnull_like, num, text
 from ..streaming.guard import batch_only
 from .aggregates import aggregate
 from .lookups import PREFIX
@@ -99,7 +99,7 @@ def check_lookup(before: DataFrame, after: DataFrame, keys, prefix: str = PREFIX
     """Match rate, unmatched rows, repeated keys and added rows of a lookup."""
     batch_only(before, "check_lookup")
     right = [c for c in after.columns if c.startswith(prefix)]
-    hit = reduce(lambda a, b: a | b, [~isnull_like(col(c)) for c in right], F.lit(False))
+    hit = reduce(lambda a, b: a | b, [~isnull_like(cell(after, c)) for c in right], F.lit(False))
     groups = after.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"), F.count_if(hit).alias("_hit"))
     one = groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("n_after"), F.coalesce(F.sum("_hit"), F.lit(0)).alias("matched"),
@@ -122,8 +122,8 @@ def check_formula(after: DataFrame, target: str, sources=(), numeric: bool = Tru
     if target not in after.columns:
         one = after.sparkSession.range(1)
         return _report(one, _test("target_exists", F.lit(False), F.lit(0)))
-    empty = isnull_like(col(target))
-    n = num(col(target))
+    empty = isnull_like(cell(after, target))
+    n = num(cell(after, target))
     one = after.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(empty).alias("nulls"), F.count_if(~empty & n.isNull()).alias("bad"),
         F.min(n).alias("lo"), F.max(n).alias("hi"),
@@ -183,7 +183,7 @@ def check_dedup(before: DataFrame, after: DataFrame, keys=None) -> DataFrame:
 
 
 def _null_cells(df: DataFrame) -> DataFrame:
-    per_row = reduce(lambda a, b: a + b, [F.when(isnull_like(col(n)), 1).otherwise(0) for n in df.columns])
+    per_row = reduce(lambda a, b: a + b, [F.when(isnull_like(cell(df, n)), 1).otherwise(0) for n in df.columns])
     return df.agg(F.struct(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(per_row), F.lit(0)).alias("nulls")).alias("s"))
 
 
@@ -213,7 +213,7 @@ def _sort_parts(df: DataFrame, sorts) -> list[tuple[Column, bool]]:
     """Elementary comparison keys of a sort: number, text or typed value, each with its direction."""
     parts: list[tuple[Column, bool]] = []
     for name, asc in sorts:
-        c, dtype = col(name), df.schema[name].dataType
+        c, dtype = cell(df, name), df.schema[name].dataType
         if isinstance(dtype, T.StringType):
             n = num(c)
             parts += [(F.when(c.isNotNull(), n.isNull().cast("double")), asc), (n, asc), (c, asc)]
@@ -299,7 +299,7 @@ def check_sort(df: DataFrame, sorts) -> DataFrame:
 
 def _content(df: DataFrame, names) -> Column:
     """Fingerprint of the given cells; null and empty text differ."""
-    cells = [F.coalesce(F.concat(F.lit("="), text(col(n))), F.lit("~")) for n in names]
+    cells = [F.coalesce(F.concat(F.lit("="), text(cell(df, n))), F.lit("~")) for n in names]
     return F.sha2(F.to_json(F.array(*cells)), 256) if names else F.lit("")
 
 

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.cells import PLACEHOLDERS, col, isnull_blank, isnull_like, num
+from ..functions.cells import PLACEHOLDERS, cell, col, isnull_blank, isnull_like, num
 
 
 def _every(conds: list[Column]) -> Column:
@@ -16,7 +16,7 @@ def _every(conds: list[Column]) -> Column:
 def blank_to_null(df: DataFrame, columns=None) -> DataFrame:
     names = columns or df.columns
     return df.select([
-        F.when(~isnull_blank(col(n)), col(n)).alias(n) if n in names and isinstance(df.schema[n].dataType, T.StringType) else col(n)
+        F.when(~isnull_blank(cell(df, n)), col(n)).alias(n) if n in names and isinstance(df.schema[n].dataType, T.StringType) else col(n)
         for n in df.columns
     ])
 
@@ -24,7 +24,7 @@ def blank_to_null(df: DataFrame, columns=None) -> DataFrame:
 def placeholders_to_null(df: DataFrame, columns=None, words=PLACEHOLDERS) -> DataFrame:
     """Null-like cells (``N/A``, ``-``, ...) to null."""
     names = columns or df.columns
-    return df.select([F.when(~isnull_like(col(n), words), col(n)).alias(n) if n in names else col(n) for n in df.columns])
+    return df.select([F.when(~isnull_like(cell(df, n), words), col(n)).alias(n) if n in names else col(n) for n in df.columns])
 
 
 def drop_empty(df: DataFrame, columns=None) -> DataFrame:
@@ -34,7 +34,7 @@ def drop_empty(df: DataFrame, columns=None) -> DataFrame:
 
 def drop_null_like(df: DataFrame, columns=None, words=PLACEHOLDERS) -> DataFrame:
     """Rows in which not every cell is null-like."""
-    return df.filter(~_every([isnull_like(col(n), words) for n in (columns or df.columns)]))
+    return df.filter(~_every([isnull_like(cell(df, n), words) for n in (columns or df.columns)]))
 
 
 def clean(df: DataFrame, numeric=(), subset=None, columns=None) -> DataFrame:
@@ -44,7 +44,7 @@ def clean(df: DataFrame, numeric=(), subset=None, columns=None) -> DataFrame:
     value in those columns; ``columns`` are the cells looked at (default all).
     """
     names = list(columns or df.columns)
-    out = df.withColumns({n: num(col(n)) for n in numeric})
+    out = df.withColumns({n: num(cell(df, n)) for n in numeric})
     out = blank_to_null(out, [n for n in names if n not in numeric])
     if subset:
         out = out.dropna(how="all", subset=list(subset))
@@ -57,13 +57,13 @@ def clean_counts(df: DataFrame, numeric=(), subset=None, columns=None) -> DataFr
     names = list(columns or df.columns)
 
     def gone(n: str) -> Column:
-        return num(col(n)).isNull() if n in numeric else isnull_like(col(n))
+        return num(cell(df, n)).isNull() if n in numeric else isnull_like(cell(df, n))
 
     removed = _every([gone(n) for n in names])
     if subset:
-        blank = [num(col(n)).isNull() if n in numeric else isnull_blank(col(n)) for n in subset]
+        blank = [num(cell(df, n)).isNull() if n in numeric else isnull_blank(cell(df, n)) for n in subset]
         removed = removed | _every(blank)
-    bad = [F.when(~isnull_blank(col(n)) & num(col(n)).isNull(), 1).otherwise(0) for n in numeric]
+    bad = [F.when(~isnull_blank(cell(df, n)) & num(cell(df, n)).isNull(), 1).otherwise(0) for n in numeric]
     invalid = reduce(lambda a, b: a + b, bad) if bad else F.lit(0)
     return df.agg(
         F.count(F.lit(1)).alias("before_rows"),

@@ -22,7 +22,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.cells import col, norm_key
+from ..functions.cells import cell, col, norm_key
 from ..functions.standardize import edit_similarity, std_text
 from ..session import checkpointed
 from ..streaming.guard import batch_only
@@ -209,10 +209,10 @@ def fuzzy_lookup(left: DataFrame, right: DataFrame, on, order_by=(), threshold:
     """
     batch_only(left, "fuzzy_lookup")
     a, b = (on, on) if isinstance(on, str) else on
-    keyed = first_per_key(right, [norm_key(col(b))], order_by)
+    keyed = first_per_key(right, [norm_key(cell(right, b))], order_by)
     order = [col(c) for c in (order_by or right.columns)]
     right_keys = keyed.select(F.col("_k0").alias("rkey"), F.struct(*order).alias("rorder"))
-    probe = left.withColumn("_lkey", norm_key(col(a)))
+    probe = left.withColumn("_lkey", norm_key(cell(left, a)))
     wanted = probe.filter("_lkey <> ''").select(F.col("_lkey").alias("lkey")).distinct()
     unmatched = wanted.join(right_keys.select(F.col("rkey").alias("lkey")), "lkey", "left_anti")
     mapping = best_similar(unmatched, right_keys, threshold).select(
@@ -230,7 +230,7 @@ def fuzzy_lookup(left: DataFrame, right: DataFrame, on, order_by=(), threshold:
 def fuzzy_find(df: DataFrame, column: str, wanted: str, order_by=(), threshold: float = 0.85) -> DataFrame:
     """The row of a table whose key is the best match for one value: exact first, then most similar."""
     target = norm_key(F.lit(wanted))
-    key = norm_key(col(column))
+    key = norm_key(cell(df, column))
     scored = df.withColumn("_exact", key == target).withColumn("_score", edit_similarity(key, target))
     scored = scored.filter((key != "") & (F.col("_exact") | (F.col("_score") >= F.lit(threshold - EPS))))
     order = [F.col("_exact").desc(), F.col("_score").desc(), *[col(c) for c in (order_by or df.columns)]]

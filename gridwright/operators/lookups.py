@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.cells import col, norm_key
+from ..functions.cells import cell, col, norm_key
 from ..streaming.guard import batch_only
 from .ordering import first_rows, with_row_number
 from .skew import join_salted
@@ -30,8 +30,8 @@ def _keys(left: DataFrame, right: DataFrame, pairs) -> tuple[list[Column], list[
             lk.append(col(a).cast(wide) if wide else col(a))
             rk.append(col(b).cast(wide) if wide else col(b))
         else:
-            lk.append(norm_key(col(a)))
-            rk.append(norm_key(col(b)))
+            lk.append(norm_key(cell(left, a)))
+            rk.append(norm_key(cell(right, b)))
     if len(pairs) > 1:
         return [_present(k) for k in lk], [_present(k) for k in rk]
     return lk, rk

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.cells import col, num, text
+from ..functions.cells import cell, col, num
 from ..session import checkpointed
 from ..streaming.guard import batch_only
 
@@ -17,7 +17,7 @@ def sort_columns(df: DataFrame, sorts, collation: str | None = None) -> list[Col
     """
     keys = []
     for name, asc in sorts:
-        c, dtype = col(name), df.schema[name].dataType
+        c, dtype = cell(df, name), df.schema[name].dataType
         if not isinstance(dtype, T.StringType):
             parts = [c]
         else:
@@ -42,7 +42,7 @@ def sort_rows(df: DataFrame, sorts, limit: int | None = None, tie: str | None =
 def top_n(df: DataFrame, column: str, n: int | None, tie: str | None = None) -> DataFrame:
     """Largest values first; a cell that is not a number counts as 0."""
     batch_only(df, "top_n")
-    keys = [F.coalesce(num(col(column)), F.lit(0.0)).desc()] + ([col(tie).asc()] if tie else [])
+    keys = [F.coalesce(num(cell(df, column)), F.lit(0.0)).desc()] + ([col(tie).asc()] if tie else [])
     out = df.orderBy(*keys)
     return out.limit(n) if n else out
 
@@ -62,7 +62,7 @@ def first_per_group(df: DataFrame, group: str, order_by) -> DataFrame:
     from ..functions.cells import isnull_blank
 
     batch_only(df, "first_per_group")
-    return first_rows(df.filter(~isnull_blank(col(group))), [col(group)], [col(c) for c in order_by])
+    return first_rows(df.filter(~isnull_blank(cell(df, group))), [col(group)], [col(c) for c in order_by])
 
 
 def _group_key(df: DataFrame, name: str) -> Column:

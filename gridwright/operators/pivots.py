@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.cells import col, isnull_empty, text, tidy
+from ..functions.cells import cell, col, isnull_empty, text, tidy
 from ..streaming.guard import batch_only
 from .aggregates import METHODS, numeric_cell
 
@@ -45,14 +45,14 @@ def pivot_table(df: DataFrame, rows, values: str, agg: str, columns: str | None
         c = F.coalesce(c, F.lit(0))
     parts = [
         F.sum(c).alias("_sum"), F.count(c).alias("_num"), F.max(c).alias("_max"), F.min(c).alias("_min"),
-        F.count_if(~isnull_empty(col(values))).alias("_count"),
+        F.count_if(~isnull_empty(cell(df, values))).alias("_count"),
     ]
     if columns is None:
         cells = df.groupBy(*[col(r) for r in rows]).agg(*parts)
         out = cells.groupBy(*[col(r) for r in rows]).agg(_cell(agg).alias(values))
         return out.fillna(0.0, [values])
 
-    label = F.when(isnull_empty(col(columns)), F.lit(BLANK)).otherwise(text(col(columns)))
+    label = F.when(isnull_empty(cell(df, columns)), F.lit(BLANK)).otherwise(text(cell(df, columns)))
     found = df.select(label.alias("v")).distinct().limit(max_columns + 1).collect()
     if len(found) > max_columns:
         raise TooManyColumns(f"{columns} has more than {max_columns} distinct values")
@@ -69,6 +69,6 @@ def pivot_table(df: DataFrame, rows, values: str, agg: str, columns: str | None
     body = spread(cells.groupBy(*[col(r) for r in rows]))
     if not total:
         return body
-    body = body.select(*[text(col(r)).alias(r) for r in rows], *[col(PREFIX + n) for n in names])
+    body = body.select(*[text(cell(df, r)).alias(r) for r in rows], *[col(PREFIX + n) for n in names])
     foot = spread(cells.groupBy(*[F.lit(TOTAL).alias(r) for r in rows]))
     return body.unionByName(foot)

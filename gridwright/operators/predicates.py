@@ -14,7 +14,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.cells import NUMBER_PATTERN, col, compare, isnull_blank, num, text
+from ..functions.cells import NUMBER_PATTERN, cell, col, compare, isnull_blank, num, text
 
 COMPARISONS = {"GT": ">", "GTE": ">=", "LT": "<", "LTE": "<="}
 OPERATORS = (
@@ -106,27 +106,27 @@ def _pair(a: Column, b: Column, op: str) -> Column:
 def predicate(df: DataFrame, c: Cond) -> Column:
     """One condition as a Column. A null cell gives null or false, never true."""
     dtype = df.schema[c.column].dataType
-    cell = col(c.column)
+    me = cell(df, c.column)
     if c.op in ("IS_NULL", "NOT_NULL"):
-        blank = isnull_blank(cell)
+        blank = isnull_blank(me)
         return blank if c.op == "IS_NULL" else ~blank
     if c.other is not None:
-        return _pair(cell, col(c.other), c.op)
+        return _pair(me, cell(df, c.other), c.op)
     if c.op in COMPARISONS:
-        return _ordered(cell, dtype, COMPARISONS[c.op], c.value)
+        return _ordered(me, dtype, COMPARISONS[c.op], c.value)
     if c.op == "BETWEEN":
         start, end = c.value
-        return _ordered(cell, dtype, ">=", start) & _ordered(cell, dtype, "<=", end)
+        return _ordered(me, dtype, ">=", start) & _ordered(me, dtype, "<=", end)
     if c.op == "EQ":
-        return _same(cell, dtype, c.value)
+        return _same(me, dtype, c.value)
     if c.op == "NE":
-        return ~_same(cell, dtype, c.value)
+        return ~_same(me, dtype, c.value)
     if c.op == "IN":
-        return _member(cell, dtype, list(c.value))
+        return _member(me, dtype, list(c.value))
     if c.op == "NOT_IN":
-        return ~_member(cell, dtype, list(c.value))
+        return ~_member(me, dtype, list(c.value))
     needle = F.lit(str(c.value).lower())
-    hay = F.lower(text(cell))
+    hay = F.lower(text(me))
     return {"CONTAINS": F.contains, "STARTS_WITH": F.startswith, "ENDS_WITH": F.endswith}[c.op](hay, needle)
 
 

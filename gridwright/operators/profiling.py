@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.cells import PLACEHOLDERS, col, isnull_empty, isnull_like, num, round_half_up, strip, text
+from ..functions.cells import PLACEHOLDERS, cell, col, mark, isnull_empty, isnull_like, num, round_half_up, strip, text
 from ..streaming.guard import batch_only
 
 # Date shapes counted as dates by the profile.
@@ -62,9 +62,9 @@ def value_counts(df: DataFrame, columns=None, order: str | None = None) -> DataF
         keep = [col(order).alias("_order")] if order else []
         aggs = [F.count(F.lit(1)).alias("n")] + ([F.min("_order").alias("first")] if order else [])
         grouped = cells_long(df, kind, names, keep).groupBy("column", "cell").agg(*aggs)
-        number = col("cell").cast("double") if kind in ("integral", "fractional") else num(col("cell"))
+        number = col("cell").cast("double") if kind in ("integral", "fractional") else num(mark(col("cell"), "text"))
         parts.append(grouped.select(
-            "column", text(col("cell")).alias("value"), number.alias("number"), F.lit(kind).alias("kind"),
+            "column", text(mark(col("cell"), {"integral": "exact", "fractional": "double"}.get(kind, "text"))).alias("value"), number.alias("number"), F.lit(kind).alias("kind"),
             "n", *(["first"] if order else []),
         ))
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -174,7 +174,7 @@ def profile_globals(df: DataFrame, columns=None) -> DataFrame:
     """One row: size, empty cells and the share of repeated rows, from one scan."""
     batch_only(df, "profile_globals")
     names = list(columns or df.columns)
-    empty = reduce(lambda a, b: a + b, [F.when(isnull_empty(col(n)), 1).otherwise(0) for n in names])
+    empty = reduce(lambda a, b: a + b, [F.when(isnull_empty(cell(df, n)), 1).otherwise(0) for n in names])
     flat = df.select(row_signature(df, names).alias("_sig"), empty.cast("bigint").alias("_empty"))
     # Rows are combined per fingerprint before they are counted, so a large
     # group of copies is one row per task.
@@ -227,7 +227,7 @@ def table_stats(df: DataFrame, columns=None, words=PLACEHOLDERS) -> DataFrame:
     """One row with null-like cells, empty rows and repeated rows, from one scan."""
     batch_only(df, "table_stats")
     names = list(columns or df.columns)
-    nulls = reduce(lambda a, b: a + b, [F.when(isnull_like(col(n), words), 1).otherwise(0) for n in names])
+    nulls = reduce(lambda a, b: a + b, [F.when(isnull_like(cell(df, n), words), 1).otherwise(0) for n in names])
     cells = [F.coalesce(_cell_text(df, n), F.lit("__null__")) for n in names]
     flat = df.select(F.sha2(F.to_json(F.array(*cells)), 256).alias("_sig"), nulls.cast("bigint").alias("_nulls"))
     groups = flat.groupBy("_sig").agg(
@@ -243,7 +243,7 @@ def table_stats(df: DataFrame, columns=None, words=PLACEHOLDERS) -> DataFrame:
 def column_stats(df: DataFrame, columns=None, words=PLACEHOLDERS) -> DataFrame:
     """Per-column statistics on cells that are not null-like; rates are over those cells."""
     counts = value_counts(df, columns)
-    gone = isnull_like(F.col("value"), words)
+    gone = isnull_like(mark(F.col("value"), "text"), words)
     valid = ~gone
     base = counts.groupBy("column").agg(
         F.sum("n").alias("row_count"), F.coalesce(F.sum(F.when(gone, F.col("n"))), F.lit(0)).alias("null_count"),

@@ -12,7 +12,7 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.cells import col, isnull_blank, isnull_empty, num, num_in, parse_date, round_half_up, strip, text
+from ..functions.cells import cell, col, isnull_blank, isnull_empty, num, parse_date, round_half_up, strip, text
 from ..functions.standardize import (
     DATE_EXACT, DATE_HEAD, amount_bare, amount_valid, amount_value, date_valid, email_valid, id_card_birth,
     id_card_valid, numeric_valid, phone_digits, phone_valid, without_spaces,
@@ -103,11 +103,11 @@ def infer_semantic_types(df: DataFrame, columns=None, fraction: float | None = N
     kinds = [t for t in COLUMN_TYPES.values() if t.inferred]
     aggs = []
     for i, n in enumerate(names):
-        given = ~isnull_empty(col(n))
-        cell = text(col(n))
+        given = ~isnull_empty(cell(df, n))
+        raw = text(cell(df, n))
         aggs.append(F.count_if(given).alias(f"n{i}"))
-        aggs.append(F.count_if(given & num_in(df, n).isNotNull()).alias(f"x{i}"))
-        aggs += [F.count_if(given & F.coalesce(t.valid(cell), F.lit(False))).alias(f"v{i}_{j}") for j, t in enumerate(kinds)]
+        aggs.append(F.count_if(given & num(cell(df, n)).isNotNull()).alias(f"x{i}"))
+        aggs += [F.count_if(given & F.coalesce(t.valid(raw), F.lit(False))).alias(f"v{i}_{j}") for j, t in enumerate(kinds)]
     one = source.agg(*aggs)
     rows = []
     for i, n in enumerate(names):
@@ -136,11 +136,11 @@ def type_items(df: DataFrame, types: dict[str, str]) -> list[Column]:
     items = []
     for n, kind in types.items():
         t = COLUMN_TYPES[kind]
-        cell = text(col(n))
-        bad = ~isnull_blank(col(n)) & ~F.coalesce(t.valid(cell), F.lit(False))
+        raw = text(cell(df, n))
+        bad = ~isnull_blank(cell(df, n)) & ~F.coalesce(t.valid(raw), F.lit(False))
         items.append(finding(
-            bad, n, f"{kind}_invalid", t.severity(cell), "inference", t.message(cell), cell,
-            t.fix(cell) if t.fix else None, t.fix is not None,
+            bad, n, f"{kind}_invalid", t.severity(raw), "inference", t.message(raw), raw,
+            t.fix(raw) if t.fix else None, t.fix is not None,
         ))
     return items
 
@@ -199,14 +199,14 @@ register_rule(Rule(
 ))
 
 
-def rule_items(mappings) -> list[Column]:
+def rule_items(df: DataFrame, mappings) -> list[Column]:
     """Findings expressions for ``(rule, {role: column})`` pairs; a rule with a missing role is skipped."""
     items = []
     for name, mapping in mappings:
         r = RULES[name]
         if any(role not in mapping for role in r.roles):
             continue
-        cells = {role: col(mapping[role]) for role in r.roles}
+        cells = {role: cell(df, mapping[role]) for role in r.roles}
         broken = F.coalesce(r.broken(cells), F.lit(False))
         items.append(finding(
             broken, mapping[r.target], r.name, "error", "business", r.detail(cells), text(cells[r.target]),
@@ -216,13 +216,13 @@ def rule_items(mappings) -> list[Column]:
 
 
 def run_rules(df: DataFrame, row_id: str, mappings) -> DataFrame:
-    return row_findings(df, row_id, rule_items(mappings))
+    return row_findings(df, row_id, rule_items(df, mappings))
 
 
 # --- general rules ---------------------------------------------------------------------
 
-def blank_row_item(names) -> Column:
-    every = reduce(lambda a, b: a & b, [isnull_blank(col(n)) for n in names])
+def blank_row_item(df: DataFrame, names) -> Column:
+    every = reduce(lambda a, b: a & b, [isnull_blank(cell(df, n)) for n in names])
     return finding(every, None, "blank_row", detail="no value in the row")
 
 
@@ -232,9 +232,9 @@ def mixed_types(df: DataFrame, row_id: str, columns=None) -> DataFrame:
     names = [n for n in (columns or df.columns) if n != row_id]
     aggs = []
     for i, n in enumerate(names):
-        given = ~isnull_blank(col(n))
-        number = num_in(df, n).isNotNull()
-        dated = F.coalesce(text(col(n)).rlike(DATE_HEAD), F.lit(False))
+        given = ~isnull_blank(cell(df, n))
+        number = num(cell(df, n)).isNotNull()
+        dated = F.coalesce(text(cell(df, n)).rlike(DATE_HEAD), F.lit(False))
         aggs += [
             F.count_if(given & number).alias(f"number{i}"),
             F.count_if(given & ~number & dated).alias(f"date{i}"),
@@ -260,10 +260,10 @@ def date_format_counts(df: DataFrame, columns) -> DataFrame:
     names = [f for f, _ in DATE_FORMATS] + [OTHER_FORMAT]
     aggs, rows = [], []
     for i, n in enumerate(columns):
-        cell = text(col(n))
-        shape = F.when(isnull_empty(col(n)), None)
+        raw = text(cell(df, n))
+        shape = F.when(isnull_empty(cell(df, n)), None)
         for f, pattern in DATE_FORMATS:
-            shape = shape.when(cell.rlike(pattern), f)
+            shape = shape.when(raw.rlike(pattern), f)
         shape = shape.otherwise(OTHER_FORMAT)
         for j, f in enumerate(names):
             aggs.append(F.count_if(shape == f).alias(f"f{i}_{j}"))
@@ -286,17 +286,17 @@ def outlier_facts(df: DataFrame, columns) -> DataFrame:
     """One row with a struct of mean, deviation and count per column."""
     parts = []
     for i, n in enumerate(columns):
-        c = num(col(n))
+        c = num(cell(df, n))
         parts += [F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}"), F.count(c).alias(f"n{i}")]
     return df.agg(F.struct(*parts))
 
 
-def outlier_items(columns, facts: str = "_facts", width: float = 3.0) -> list[Column]:
+def outlier_items(df: DataFrame, columns, facts: str = "_facts", width: float = 3.0) -> list[Column]:
     items = []
     for i, n in enumerate(columns):
         f = F.col(facts)
-        far = (f[f"n{i}"] >= 5) & (f[f"s{i}"] > 0) & (F.abs(num(col(n)) - f[f"m{i}"]) > f[f"s{i}"] * width)
-        items.append(finding(far, n, "outlier", detail=F.format_string("outside %.0f +- %.0f", f[f"m{i}"], f[f"s{i}"] * width), original=text(col(n))))
+        far = (f[f"n{i}"] >= 5) & (f[f"s{i}"] > 0) & (F.abs(num(cell(df, n)) - f[f"m{i}"]) > f[f"s{i}"] * width)
+        items.append(finding(far, n, "outlier", detail=F.format_string("outside %.0f +- %.0f", f[f"m{i}"], f[f"s{i}"] * width), original=text(cell(df, n))))
     return items
 
 
@@ -304,7 +304,7 @@ def outliers(df: DataFrame, row_id: str, columns) -> DataFrame:
     """Cells further than three population deviations from the mean; empty cells take no part."""
     batch_only(df, "outliers")
     marked = df.withColumn("_facts", outlier_facts(df, columns).scalar())
-    return row_findings(marked, row_id, outlier_items(columns))
+    return row_findings(marked, row_id, outlier_items(df, columns))
 
 
 def quality_findings(df: DataFrame, row_id: str, types: dict[str, str] | None = None, rules=(), columns=None,
@@ -320,14 +320,14 @@ def quality_findings(df: DataFrame, row_id: str, types: dict[str, str] | None =
         types = {r["column"]: r["type"] for r in infer_semantic_types(df, names).collect()}
     if numeric_columns is None:
         numeric_columns = [n for n in names if isinstance(df.schema[n].dataType, T.NumericType)]
-    items = [blank_row_item(names)]
-    items += [finding(isnull_blank(col(n)), n, "blank_cell", detail="no value") for n in names]
+    items = [blank_row_item(df, names)]
+    items += [finding(isnull_blank(cell(df, n)), n, "blank_cell", detail="no value") for n in names]
     source = df
     if numeric_columns:
         source = df.withColumn("_facts", outlier_facts(df, numeric_columns).scalar())
-        items += outlier_items(numeric_columns)
+        items += outlier_items(df, numeric_columns)
     items += type_items(df, {n: t for n, t in types.items() if t != "text"})
-    items += rule_items(rules)
+    items += rule_items(df, rules)
     found = row_findings(source, row_id, items).unionByName(mixed_types(df, row_id, names))
     if date_columns:
         found = found.unionByName(date_formats(df, row_id, date_columns))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.cells import col, isnull_blank, num
+from ..functions.cells import cell, col, isnull_blank, num
 from ..streaming.guard import batch_only
 from .predicates import Cond, combine
 
@@ -44,11 +44,11 @@ def set_where(df: DataFrame, column: str, new, where=None) -> DataFrame:
 
 def cast_numbers(df: DataFrame, column: str) -> DataFrame:
     """Text column to numbers where every row can be read; unreadable cells become null."""
-    return df.withColumn(column, num(col(column)))
+    return df.withColumn(column, num(cell(df, column)))
 
 
 def fill_blank(df: DataFrame, column: str, new) -> DataFrame:
-    return set_where(df, column, new, isnull_blank(col(column)))
+    return set_where(df, column, new, isnull_blank(cell(df, column)))
 
 
 def modified_count(df: DataFrame, where=None) -> DataFrame:

@@ -30,9 +30,10 @@ BARE = "replace(replace(balance, '￥', ''), ',', '')"
 AMOUNT = ("'balance'", "amount_format", "balance", BARE, "true", "contains(balance, '￥') OR contains(balance, ',')")
 NEGATIVE = ("'balance'", "amount_negative", f"{BARE}", "NULL", "false", f"try_cast({BARE} AS DOUBLE) < 0")
 MISMATCH = ("'points'", "format_mismatch", "points", "CASE WHEN points = 'many' THEN NULL ELSE '320' END", "points <> 'many'", "points <> '' AND try_cast(points AS DOUBLE) IS NULL")
+DASHED = ("'phone'", "format_mismatch", "phone", "NULL", "false", "contains(phone, '-')")
 BLANK = ("'joined'", "blank_cell", "NULL", "NULL", "false", "trim(joined) = ''")
 BLANK_POINTS = ("'points'", "blank_cell", "NULL", "NULL", "false", "points = ''")
-ALL = _found(BLANK, BLANK_POINTS, PHONE, CARD, EMAIL, DATE, FUTURE, AMOUNT, NEGATIVE, MISMATCH)
+ALL = _found(BLANK, BLANK_POINTS, PHONE, CARD, EMAIL, DATE, FUTURE, AMOUNT, NEGATIVE, MISMATCH, DASHED)
 WITH = f"WITH {CONTACTS}, found AS ({ALL}) "
 
 

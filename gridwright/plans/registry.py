@@ -41,4 +41,4 @@ def half_up(x: str, places: int = 2) -> str:
 
 def tidy(x: str) -> str:
     """SQL of removing arithmetic noise at the tenth decimal."""
-    return f"(CASE WHEN abs({x}) < 100000 THEN floor(({x}) * 1e10 + 0.5) / 1e10 ELSE ({x}) END)"
+    return f"(round_even(({x}) * 1e10, 0) / 1e10)"

@@ -6,11 +6,13 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.cells import col, isnull_empty, num, num_in, parse_date
+from ..functions.cells import cell, col, isnull_empty, num, parse_date
 from ..operators.shaping import title_of, with_titles
 from ..streaming.guard import batch_only
 
 KEY_CHARACTERS = r"[^A-Za-z0-9一-鿿]"
+# Marks missing fields while reading, so that a quoted empty field stays empty text.
+MISSING = "\x01"
 DATE_START = r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}"
 
 
@@ -42,7 +44,7 @@ def read_csv(spark: SparkSession, path, header: bool = True, multiline: bool = T
     """
     raw = (
         spark.read.option("header", header).option("multiLine", multiline).option("escape", '"')
-        .option("inferSchema", False).options(**options).csv(path)
+        .option("inferSchema", False).option("nullValue", MISSING).options(**options).csv(path)
     )
     headers = [None if re.fullmatch(rf"_c{i}", n) else n for i, n in enumerate(raw.columns)]
     df = name_columns(raw, headers)
@@ -60,9 +62,9 @@ def type_facts(df: DataFrame, columns=None) -> DataFrame:
     names = list(columns or df.columns)
     aggs, rows = [], []
     for i, n in enumerate(names):
-        given = ~isnull_empty(col(n))
+        given = ~isnull_empty(cell(df, n))
         aggs += [
-            F.count_if(given).alias(f"n{i}"), F.count_if(given & num_in(df, n).isNotNull()).alias(f"x{i}"),
+            F.count_if(given).alias(f"n{i}"), F.count_if(given & num(cell(df, n)).isNotNull()).alias(f"x{i}"),
             F.count_if(given & F.coalesce(col(n).cast("string").rlike(DATE_START), F.lit(False))).alias(f"d{i}"),
         ]
         kind = (
@@ -77,7 +79,7 @@ def cast_columns(df: DataFrame, types: dict[str, str], keep_date_text: bool = Tr
     """Number columns to double; date columns to dates, or kept as text."""
     def typed(n: str) -> Column:
         if types.get(n) == "number" and isinstance(df.schema[n].dataType, T.StringType):
-            out = num(col(n))
+            out = num(cell(df, n))
         elif types.get(n) == "date" and not keep_date_text:
             out = parse_date(col(n))
         else:
@@ -102,7 +104,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorif
     out = _titled(df) if titles else df
     if fmt == "csv":
         # Null is an empty field, empty text is a quoted empty field.
-        out.write.mode(mode).option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", '""').option("nullValue", "").csv(path)
+        out.write.mode(mode).option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
     elif fmt == "json":
         out.write.mode(mode).option("ignoreNullFields", False).json(path)
     elif fmt == "parquet":
