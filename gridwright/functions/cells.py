@@ -200,6 +200,11 @@ def tidy(x: Column) -> Column:
     return mark(F.rint(x * 1e10) / F.lit(1e10), DOUBLE)
 
 
+def tidy_total(x: Column) -> Column:
+    """``tidy`` for totals, which have no digits at the tenth decimal once they are large."""
+    return mark(F.when(F.abs(x) < 1e5, tidy(x)).otherwise(x), DOUBLE)
+
+
 def compare(a: Column, b: Column, op: str) -> Column:
     """Numeric when both sides are numbers, otherwise by text."""
     ops = {

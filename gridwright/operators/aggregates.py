@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.cells import cell, col, isnull_empty, num, round_half_up, tidy
+from ..functions.cells import cell, col, isnull_empty, num, round_half_up, tidy_total
 from ..streaming.guard import batch_only
 
 METHODS = ("SUM", "AVG", "COUNT", "MAX", "MIN")
@@ -40,8 +40,8 @@ def measure(df: DataFrame, name: str, method: str, decimals: int | None = None)
     if decimals is not None:
         return round_half_up(out, decimals)
     if method == "SUM":
-        return F.coalesce(tidy(out), F.lit(0.0))
-    return tidy(out) if method == "AVG" else out
+        return F.coalesce(tidy_total(out), F.lit(0.0))
+    return tidy_total(out) if method == "AVG" else out
 
 
 def _spec(agg) -> tuple[str, str, str]:
@@ -89,8 +89,8 @@ def conditional(df: DataFrame, cond: Column, value: str | None, method: str) ->
     c = F.when(cond, numeric_cell(df, value))
     total = F.coalesce(F.sum(c).cast("double"), F.lit(0.0))
     if method == "SUM":
-        return df.agg(tidy(total))
-    return df.agg(F.coalesce(tidy(F.try_divide(total, F.count(c))), F.lit(0.0)))
+        return df.agg(tidy_total(total))
+    return df.agg(F.coalesce(tidy_total(F.try_divide(total, F.count(c))), F.lit(0.0)))
 
 
 def with_sumif(df: DataFrame, out: str, cond: Column, value: str) -> DataFrame:
@@ -116,7 +116,7 @@ def with_sumif_by(df: DataFrame, out: str, match: str, criterion: str, value: st
     else:
         c = numeric_cell(df, value)
         total = F.coalesce(F.sum(c).cast("double"), F.lit(0.0))
-        per_key = sums.agg((tidy(total) if method == "SUM" else tidy(F.try_divide(total, F.count(c)))).alias("_value"))
+        per_key = sums.agg((tidy_total(total) if method == "SUM" else tidy_total(F.try_divide(total, F.count(c)))).alias("_value"))
         empty = F.lit(0.0)
     joined = df.join(per_key, col(criterion) == F.col("_match"), "left")
     return joined.select(*[col(n) for n in df.columns], F.coalesce(F.col("_value"), empty).alias(out))

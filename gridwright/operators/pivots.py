@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.cells import cell, col, isnull_empty, text, tidy
+from ..functions.cells import cell, col, isnull_empty, text, tidy_total
 from ..streaming.guard import batch_only
 from .aggregates import METHODS, numeric_cell
 
@@ -21,8 +21,8 @@ def _cell(method: str) -> Column:
     """Final value of a cell from the partial sums of its rows."""
     total, count = F.sum("_sum").cast("double"), F.sum("_num")
     return {
-        "SUM": tidy(total),
-        "AVG": tidy(F.try_divide(total, count)),
+        "SUM": tidy_total(total),
+        "AVG": tidy_total(F.try_divide(total, count)),
         "COUNT": F.sum("_count").cast("double"),
         "MAX": F.max("_max").cast("double"),
         "MIN": F.min("_min").cast("double"),

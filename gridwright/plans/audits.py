@@ -199,8 +199,8 @@ def quality_rule_birth_date(t):
     return found.select("row_id", "column", "original_value", "suggested_value")
 
 
-@query(f"""WITH {CONTACTS}, dup AS (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY joined, points) AS f FROM contacts),
-  u AS (SELECT 'blank_cell' AS rule, count(*) AS n FROM contacts WHERE trim(joined) = '' UNION ALL SELECT 'blank_cell', count(*) FROM contacts WHERE points = ''
+@query(f"""WITH {CONTACTS}, dup AS (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY joined, points) AS f FROM contacts WHERE trim(joined) <> '' OR points <> ''),
+  u AS (SELECT 'blank_row' AS rule, count(*) AS n FROM contacts WHERE trim(joined) = '' AND points = '' UNION ALL SELECT 'blank_cell', count(*) FROM contacts WHERE trim(joined) = '' UNION ALL SELECT 'blank_cell', count(*) FROM contacts WHERE points = ''
     UNION ALL SELECT 'duplicate_row', count(*) FROM dup WHERE c_custkey > f
     UNION ALL SELECT 'date_invalid', count(*) FROM contacts WHERE joined = '2024年1月5日'
     UNION ALL SELECT 'mixed_types', count(*) FROM (SELECT 1 FROM contacts WHERE trim(joined) <> '' HAVING count(DISTINCT joined = '2024年1月5日') > 1)
