@@ -163,8 +163,9 @@ def isnull_like(c, words=PLACEHOLDERS) -> Column:
 # --- numbers ----------------------------------------------------------------
 
 def _num_text(s: Column) -> Column:
-    # No match gives empty text, which is not a number.
-    return F.regexp_extract(strip(s), NUMBER_PATTERN, 0).try_cast("double")
+    # The pattern is tested first: a failed cast costs far more than a failed match.
+    t = strip(s)
+    return F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double"))
 
 
 def num(c) -> Column:

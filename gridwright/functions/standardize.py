@@ -90,22 +90,24 @@ def std_number(c) -> Column:
     Parentheses are a minus sign, percent divides by 100, currency marks and
     thousands commas are dropped.
     """
-    t = strip(c)
-    inner = F.regexp_extract(t, r"^\((.+)\)$", 1)
-    negative = inner != ""
-    body = F.when(negative, strip(inner)).otherwise(t)
-    percent = body.rlike("[%％]$")
-    prefixed, suffixed = body.rlike(CURRENCY_PREFIX), body.rlike(CURRENCY_SUFFIX)
-    core = F.regexp_replace(body, "[%％]$", "")
-    money = F.regexp_replace(F.regexp_replace(F.regexp_replace(core, CURRENCY_PREFIX, ""), CURRENCY_SUFFIX, ""), ",", "")
-    raw = strip(F.when(percent, core).otherwise(money))
-    parsed = F.when(raw.rlike(NUMBER_PATTERN), raw.try_cast("double"))
-    parsed = F.when(percent, parsed / 100).otherwise(parsed)
-    parsed = F.when(negative, -parsed).otherwise(parsed)
-    confidence = (
-        F.when(percent, 0.95).when(prefixed | suffixed, 0.9).when(F.contains(body, F.lit(",")), 0.95).otherwise(1.0)
-    )
-    return _result(parsed, confidence)
+    def parsed(t: Column) -> Column:
+        inner = F.regexp_extract(t, r"^\((.+)\)$", 1)
+        return bind(inner, lambda i: F.when(i != "", _negated(bind(strip(i), _dirty_number))).otherwise(_dirty_number(t)))
+
+    return bind(strip(c), parsed)
+
+
+def _negated(r: Column) -> Column:
+    return F.struct((-r["value"]).alias("value"), r["confidence"].alias("confidence"))
+
+
+def _dirty_number(t: Column) -> Column:
+    """Number without parentheses, from stripped text."""
+    percent = t.rlike("[%％]$")
+    bare = F.regexp_replace(t, f"{CURRENCY_PREFIX}|{CURRENCY_SUFFIX}|,", "")
+    money = F.when(bare == t, 1.0).when(t.rlike(f"{CURRENCY_PREFIX}|{CURRENCY_SUFFIX}"), 0.9).otherwise(0.95)
+    return F.when(percent, _result(num(mark(F.regexp_replace(t, "[%％]$", ""), "text")) / 100, F.lit(0.95))).otherwise(
+        _result(num(mark(bare, "text")), money))
 
 
 def std_date(c) -> Column:

@@ -13,6 +13,7 @@ from ..functions.cells import cell, col, isnull_blank, mark, num, strip, text
 from ..functions.standardize import (
     cn_number_text, date_valid, email_fixed, email_valid, id_card_acceptable, phone_valid, without_spaces,
 )
+from ..session import checkpointed
 from ..streaming.guard import batch_only
 from .duplicates import duplicate_rows
 from .findings import finding, quality_score, row_findings
@@ -214,7 +215,7 @@ def recheck(df: DataFrame, old: DataFrame, edits: DataFrame, row_id: str, roles=
     """
     batch_only(df, "recheck")
     per_cell = old.filter("row_id is not null and rule not in ('duplicate_row', 'format_mismatch')")
-    rows = per_cell.select(F.col("row_id").alias(row_id)).distinct()
+    rows = checkpointed(per_cell.select(F.col("row_id").alias(row_id)).distinct())
     touched = apply_edits(df.join(rows, row_id, "left_semi"), edits, row_id)
     again = audit(touched, row_id, roles, as_of=as_of, mismatches=False, duplicates=False)
     return rows.join(again.select(F.col("row_id").alias(row_id)), row_id, "left_anti")

@@ -17,6 +17,7 @@ from ..functions.cells import cell, col, isnull_like, num, text
 from ..streaming.guard import batch_only
 from .aggregates import aggregate
 from .lookups import PREFIX
+from .ordering import sort_parts
 from .predicates import combine
 from .updates import _condition, _fit
 
@@ -209,19 +210,11 @@ def check_chain(before: DataFrame, after: DataFrame) -> DataFrame:
 
 # --- sort order ------------------------------------------------------------------------
 
-def _sort_parts(df: DataFrame, sorts) -> list[tuple[Column, bool]]:
-    """Elementary comparison keys of a sort: number, text or typed value, each with its direction."""
-    parts: list[tuple[Column, bool]] = []
-    for name, asc in sorts:
-        c, dtype = cell(df, name), df.schema[name].dataType
-        if isinstance(dtype, T.StringType):
-            n = num(c)
-            parts += [(F.when(c.isNotNull(), n.isNull().cast("double")), asc), (n, asc), (c, asc)]
-        elif isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            parts.append((F.unix_micros(c.cast("timestamp")).cast("bigint"), asc))
-        else:
-            parts.append((c, asc))
-    return parts
+def _comparable(c: Column, dtype: T.DataType) -> Column:
+    """Sort key in a form that Python compares like Spark does."""
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp"))
+    return c.cast("double") if isinstance(dtype, (T.BooleanType, T.DecimalType)) else c
 
 
 def _out_of_order(prev: pd.DataFrame, cur: pd.DataFrame, ascending: list[bool]) -> np.ndarray:
@@ -250,9 +243,10 @@ def sort_violations(df: DataFrame, sorts) -> DataFrame:
     partition borders is small.
     """
     batch_only(df, "sort_violations")
-    parts = _sort_parts(df, sorts)
+    parts = sort_parts(df, sorts)
     ascending = [asc for _, asc in parts]
-    keys = df.select(*[c.alias(f"k{i}") for i, (c, _) in enumerate(parts)])
+    raw = df.select(*[c.alias(f"k{i}") for i, (c, _) in enumerate(parts)])
+    keys = raw.select(*[_comparable(F.col(f.name), f.dataType).alias(f.name) for f in raw.schema.fields])
     types = [f.dataType for f in keys.schema.fields]
     names = keys.columns
     schema = T.StructType(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cells import col, round_half_up
+from ..session import checkpointed
 from ..streaming.guard import batch_only
 from .updates import apply_edits
 
@@ -56,6 +57,8 @@ def column_findings(row_id_type: str, one_row: DataFrame, items: list[Column]) -
 def apply_fixes(df: DataFrame, findings: DataFrame, row_id: str) -> DataFrame:
     """Write suggested values into the table, for (column, rule) pairs whose findings can all be fixed."""
     batch_only(df, "apply_fixes")
+    # The findings are read twice; the audit behind them runs once.
+    findings = checkpointed(findings.select("row_id", "column", "rule", "suggested_value", "can_auto_fix"))
     groups = findings.groupBy("column", "rule").agg(F.bool_and("can_auto_fix").alias("_ok"))
     # One row per column and rule: bounded by the schema, not by the data.
     usable = F.broadcast(groups.filter("_ok").drop("_ok"))

@@ -9,42 +9,49 @@ from ..session import checkpointed
 from ..streaming.guard import batch_only
 
 
-def sort_columns(df: DataFrame, sorts, collation: str | None = None) -> list[Column]:
-    """Order keys: nulls last in both directions, numbers before text by value.
+def sort_parts(df: DataFrame, sorts, collation: str | None = None) -> list[tuple[Column, bool]]:
+    """Elementary keys of a sort with their directions: number before text, each by value."""
+    parts: list[tuple[Column, bool]] = []
+    for name, asc in sorts:
+        c = cell(df, name)
+        if not isinstance(df.schema[name].dataType, T.StringType):
+            parts.append((c, asc))
+            continue
+        n = num(c)
+        words = F.collate(c, collation) if collation else c
+        parts += [(F.when(c.isNotNull(), n.isNull()), asc), (n, asc), (words, asc)]
+    return parts
+
 
-    ``sorts`` is a list of ``(column, ascending)``. ``collation`` orders text
-    by locale, for example ``"zh"``.
+def _ordered(df: DataFrame, keys: list[tuple[Column, bool]], tie: str | None) -> DataFrame:
+    """Rows in key order, nulls last in both directions.
+
+    Computed keys become columns first: a sort evaluates key expressions again
+    at every comparison.
     """
-    keys = []
-    for name, asc in sorts:
-        c, dtype = cell(df, name), df.schema[name].dataType
-        if not isinstance(dtype, T.StringType):
-            parts = [c]
-        else:
-            n = num(c)
-            t = F.collate(c, collation) if collation else c
-            kind = F.when(c.isNull(), None).otherwise(n.isNull())
-            parts = [kind, n, t]
-        keys += [p.asc_nulls_last() if asc else p.desc_nulls_last() for p in parts]
-    return keys
+    names = [f"_sort{i}" for i in range(len(keys))]
+    order = [F.col(n).asc_nulls_last() if asc else F.col(n).desc_nulls_last() for n, (_, asc) in zip(names, keys)]
+    if tie:
+        order.append(col(tie).asc_nulls_last())
+    return df.withColumns({n: k for n, (k, _) in zip(names, keys)}).orderBy(*order)
 
 
 def sort_rows(df: DataFrame, sorts, limit: int | None = None, tie: str | None = None, collation: str | None = None) -> DataFrame:
-    """Sort by several columns; ``tie`` names a row id that makes the order total."""
+    """Sort by several columns given as ``(column, ascending)``.
+
+    ``tie`` names a row id that makes the order total; ``collation`` orders
+    text by locale, for example ``"zh"``.
+    """
     batch_only(df, "sort_rows")
-    keys = sort_columns(df, sorts, collation)
-    if tie:
-        keys.append(col(tie).asc_nulls_last())
-    out = df.orderBy(*keys)
-    return out.limit(limit) if limit else out
+    out = _ordered(df, sort_parts(df, sorts, collation), tie)
+    return (out.limit(limit) if limit else out).select(*[col(n) for n in df.columns])
 
 
 def top_n(df: DataFrame, column: str, n: int | None, tie: str | None = None) -> DataFrame:
     """Largest values first; a cell that is not a number counts as 0."""
     batch_only(df, "top_n")
-    keys = [F.coalesce(num(cell(df, column)), F.lit(0.0)).desc()] + ([col(tie).asc()] if tie else [])
-    out = df.orderBy(*keys)
-    return out.limit(n) if n else out
+    out = _ordered(df, [(F.coalesce(num(cell(df, column)), F.lit(0.0)), False)], tie)
+    return (out.limit(n) if n else out).select(*[col(c) for c in df.columns])
 
 
 def first_rows(df: DataFrame, keys: list[Column], order_by: list[Column]) -> DataFrame:

@@ -12,7 +12,7 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.cells import cell, col, isnull_blank, isnull_empty, num, parse_date, round_half_up, strip, text
+from ..functions.cells import DOUBLE, EXACT, cell, col, isnull_blank, isnull_empty, kind_of, num, parse_date, round_half_up, strip, text
 from ..functions.standardize import (
     DATE_EXACT, DATE_HEAD, amount_bare, amount_valid, amount_value, date_valid, email_valid, id_card_birth,
     id_card_valid, numeric_valid, phone_digits, phone_valid, without_spaces,
@@ -167,12 +167,17 @@ def register_rule(r: Rule) -> Rule:
     return r
 
 
+def _amount(c: Column) -> Column:
+    """Amount in a cell; numbers are taken as they are."""
+    return num(c) if kind_of(c) in (DOUBLE, EXACT) else amount_value(text(c))
+
+
 def _product(c: dict[str, Column]) -> Column:
-    return amount_value(text(c["factor_a"])) * amount_value(text(c["factor_b"]))
+    return _amount(c["factor_a"]) * _amount(c["factor_b"])
 
 
 def _product_broken(c: dict[str, Column]) -> Column:
-    expected, given = _product(c), amount_value(text(c["product"]))
+    expected, given = _product(c), _amount(c["product"])
     size = F.greatest(F.abs(expected), F.abs(given), F.lit(1.0))
     return F.abs(expected - given) / size > 0.01
 
