@@ -36,11 +36,14 @@ def checkpoint_root(spark: SparkSession) -> str:
 
     Only where it is unset, as in local tests, a temporary folder is used.
     """
-    named = spark.sparkContext.getCheckpointDir() or spark.conf.get(CHECKPOINT_KEY, None)
-    if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named
+    active = spark.sparkContext.getCheckpointDir()
+    named = spark.conf.get(CHECKPOINT_KEY, None)
+    if named and active is None:
+        spark.sparkContext.setCheckpointDir(named)
+    if named or active:
+        # The configured folder itself is stable across runs; the active one
+        # has a part that changes with every application.
+        return named or active
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="gridwright-")
