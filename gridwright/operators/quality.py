@@ -189,7 +189,7 @@ def _iso(c: Column) -> Column:
 register_rule(Rule(
     "product", ("factor_a", "factor_b", "product"), "product", _product_broken,
     lambda c: F.concat_ws(" ", text(c["factor_a"]), F.lit("x"), text(c["factor_b"]), F.lit("is not"), text(c["product"])),
-    lambda c: F.format_string("%.2f", _product(c)),
+    lambda c: _product(c).try_cast("decimal(38,2)").cast("string"),
 ))
 register_rule(Rule(
     "date_order", ("start", "end"), "end",
