@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, passages, shards
+from . import packing, passages, shards, warc
 
 #: Folder of the public tokenizers and the split pattern of the byte-level ones.
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -89,3 +89,30 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
         F.col("row_id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"),
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages
+),
+g AS (SELECT d, max(page_id) AS holder FROM p GROUP BY d),
+b AS (
+  SELECT page_id, n, d, CASE WHEN holder <> page_id THEN holder END AS refers_to,
+    array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + substr(bits, 5 * i + 1, 5)::BIT::INTEGER, 1) FOR i IN range(32)], '') AS b32
+  FROM (SELECT *, unhex(d)::BIT::VARCHAR AS bits FROM p JOIN g USING (d))
+)
+SELECT page_id, n::BIGINT AS payload_bytes, b32 AS payload_digest,
+  CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM b
+"""
+
+
+@query(OP9_SQL)
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = warc.archive_folder(spark)
+    warc.write_archives(table(spark, folder, "pages"), path, row_id="page_id", address="url", column="html", least_bytes=0)
+    records = warc.read_archives(spark, path)
+    return records.select(
+        F.col("row_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+    )
