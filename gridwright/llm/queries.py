@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, passages, shards, warc
+from . import packing, passages, shards, toxicity, warc
 
 #: Folder of the public tokenizers and the split pattern of the byte-level ones.
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -116,3 +116,13 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
         F.col("row_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to").cast("bigint").alias("refers_to"),
     )
+
+
+@query()
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    weights = toxicity.fit(docs, labels, row_id="doc_id", column="text", label_id="doc_id", label="toxic", where=remainder != 2)
+    scores = toxicity.toxicity_scores(docs, weights, row_id="doc_id", column="text").withColumnRenamed("row_id", "doc_id")
+    held_out = F.coalesce(remainder == 2, F.lit(False))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
