@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, passages, shards, toxicity, warc
+from . import packing, passages, quality, shards, toxicity, warc
+from .frames import bounded, stored
 
 #: Folder of the public tokenizers and the split pattern of the byte-level ones.
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -126,3 +127,17 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scores = toxicity.toxicity_scores(docs, weights, row_id="doc_id", column="text").withColumnRenamed("row_id", "doc_id")
     held_out = F.coalesce(remainder == 2, F.lit(False))
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Quality of documents; those labelled good are the trusted target."""
+    good = labels.filter("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
+    good = bounded(stored(good, "good-documents"), 16)
+    marked = docs.join(good, docs.doc_id == good.good_id, "left").select(docs.doc_id, docs.text, F.col("good_id").isNotNull().alias("trusted"))
+    return quality.quality_rules(marked, "trusted", row_id="doc_id", column="text").withColumnRenamed("row_id", "doc_id")
+
+
+@query()
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    rows = judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
