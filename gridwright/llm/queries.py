@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, passages, quality, shards, toxicity, warc
+from . import overlap, packing, passages, quality, shards, toxicity, warc
 from .frames import bounded, stored
 
 #: Folder of the public tokenizers and the split pattern of the byte-level ones.
@@ -141,3 +141,9 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     rows = judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+@query()
+def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    rows = overlap.similar_rows(table(spark, folder, "documents"), row_id="doc_id", column="text", size=5, similarity=80)
+    return rows.select(F.col("row_id").alias("doc_id"), F.col("n_ngrams").alias("n_shingles"), "component_id")
