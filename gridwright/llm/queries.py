@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import overlap, packing, passages, quality, shards, toxicity, warc
+from . import lines, overlap, packing, passages, quality, shards, toxicity, warc
 from .frames import bounded, stored
 
 #: Folder of the public tokenizers and the split pattern of the byte-level ones.
@@ -147,3 +147,10 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     rows = overlap.similar_rows(table(spark, folder, "documents"), row_id="doc_id", column="text", size=5, similarity=80)
     return rows.select(F.col("row_id").alias("doc_id"), F.col("n_ngrams").alias("n_shingles"), "component_id")
+
+
+@query()
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = lines.repeated_lines(table(spark, folder, "documents"), row_id="doc_id", column="text", similarity=80)
+    return rows.select(
+        F.col("row_id").alias("doc_id"), "n_lines", F.size("removed_lines").cast("bigint").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
