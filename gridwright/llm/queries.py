@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lines, overlap, packing, passages, quality, shards, toxicity, warc
+from . import lines, overlap, packing, passages, quality, shards, spans, toxicity, warc
 from .frames import bounded, stored
 
 #: Folder of the public tokenizers and the split pattern of the byte-level ones.
@@ -154,3 +154,11 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = lines.repeated_lines(table(spark, folder, "documents"), row_id="doc_id", column="text", similarity=80)
     return rows.select(
         F.col("row_id").alias("doc_id"), "n_lines", F.size("removed_lines").cast("bigint").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spans.repeated_spans(table(spark, folder, "documents"), row_id="doc_id", column="text", length=400)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return rows.select(
+        F.col("row_id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
