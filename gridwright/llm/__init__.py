@@ -1,7 +1,16 @@
 """Operators that prepare training text: each works on one text column of a sheet, or on two sheets."""
 
+from .lines import repeated_lines
+from .overlap import first_of_similar, similar_rows
 from .packing import pack_cells
 from .passages import lookup_passages
+from .quality import quality_rules
 from .shards import shard_rows
+from .spans import repeated_spans
+from .toxicity import fit, toxicity_scores
+from .warc import read_archives, write_archives
 
-__all__ = ["lookup_passages", "pack_cells", "shard_rows"]
+__all__ = [
+    "first_of_similar", "fit", "lookup_passages", "pack_cells", "quality_rules", "read_archives", "repeated_lines",
+    "repeated_spans", "shard_rows", "similar_rows", "toxicity_scores", "write_archives",
+]

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
@@ -19,19 +17,25 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def cells(sheet: DataFrame, row_id: str, column: str) -> DataFrame:
-    """The two columns an operator reads, under fixed names.
+def cells(sheet: DataFrame, row_id: str, column: str, carry: bool = False) -> DataFrame:
+    """The two columns an operator reads, under fixed names; with ``carry`` the whole row as ``row``.
 
     Whatever other columns the sheet has, and whatever their names, they can
     not clash with the names used inside an operator.
     """
-    return sheet.select(named(row_id).alias("row_id"), named(column).cast("string").alias("cell"))
+    row = [F.struct(*[named(c) for c in sheet.columns]).alias("row")] if carry else []
+    return sheet.select(named(row_id).alias("row_id"), named(column).cast("string").alias("cell"), *row)
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared place of intermediate tables."""
+    return f"{shared_folder(spark, 'llm')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends there and no executor holds it alone."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark, 'llm')}/{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -44,11 +48,3 @@ def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) ->
 def bounded(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint if its measured size allows one, else as it is (a shuffled join)."""
     return F.broadcast(df) if small_enough(df, row_bytes) else df
-
-
-def map_batches(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(make, schema)
-
-
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

@@ -242,10 +242,11 @@ def similar_rows(sheet: DataFrame, row_id: str = "row_id", column: str = "value"
     A-Z lower-cased); with fewer words the whole sequence is its one member,
     without words it is empty and similar to nothing, as for null. Two rows are
     linked when the Jaccard similarity of their sets is at least
-    ``similarity`` percent. Returns per row ``row_id``, ``n_ngrams`` and
-    ``component_id``, the smallest row id reachable over links, its own
-    included. Repeated rows and ids are rows of one component; null ids never
-    name a component.
+    ``similarity`` percent. Returns per row ``row_id``, ``cell_key`` (hash of the
+    cell), ``n_ngrams``, ``component_id``, the smallest row id reachable over
+    links, its own included, and ``is_first`` for one row of every component,
+    one with that id. Rows without words are components of their own. Repeated
+    rows with words are one component; a null id is smaller than any other.
 
     How: rows with equal sets become one set. A set is posted under its prefix
     tokens, those first in hash order that two similar sets must share. In each
@@ -265,7 +266,7 @@ def similar_rows(sheet: DataFrame, row_id: str = "row_id", column: str = "value"
     source = cells(sheet, row_id, column)
     signed = stored(_signatures(source, size, similarity).withColumn("at", F.monotonically_increasing_id()), "signatures")
     sets = signed.filter("node is not null")
-    owners = stored(sets.groupBy("node").agg(F.min("at").alias("at"), F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "sets")
+    owners = stored(sets.groupBy("node").agg(F.min("at").alias("at"), F.min(F.struct("row_id", "at")).alias("first"), F.count(F.lit(1)).alias("copies")), "sets")
     later = sets.join(owners.filter("copies > 1").select("node", F.col("at").alias("kept")), "node").filter("at <> kept").select("at")
     own = sets.join(bounded(stored(later, "later-copies"), 16), "at", "left_anti")
 
@@ -287,8 +288,28 @@ def similar_rows(sheet: DataFrame, row_id: str = "row_id", column: str = "value"
     roots = connected(_verified(texts, size, similarity))
     roots = stored(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
 
-    firsts = owners.select("node", "first_id")
-    named_roots = roots.join(firsts, "node").groupBy("root").agg(F.min("first_id").alias("group_id"))
-    groups = firsts.join(roots.join(named_roots, "root").select("node", "group_id"), "node", "left")
-    groups = bounded(stored(groups.select("node", F.coalesce("group_id", "first_id").alias("group_id")), "groups"), 32)
-    return signed.join(groups, "node", "left").select("row_id", F.col("n").alias("n_ngrams"), F.coalesce("group_id", "row_id").alias("component_id"))
+    firsts = owners.select("node", "first")
+    named_roots = roots.join(firsts, "node").groupBy("root").agg(F.min("first").alias("group"))
+    groups = firsts.join(roots.join(named_roots, "root").select("node", "group"), "node", "left")
+    groups = bounded(stored(groups.select("node", F.coalesce("group", "first").alias("group")), "groups"), 40)
+    out = signed.join(groups, "node", "left")
+    return out.select(
+        "row_id", "cell_key", F.col("n").alias("n_ngrams"), F.coalesce("group.row_id", "row_id").alias("component_id"),
+        F.coalesce(F.col("group.at") == F.col("at"), F.lit(True)).alias("is_first"))
+
+
+def first_of_similar(sheet: DataFrame, row_id: str = "row_id", column: str = "value", size: int = 5, similarity: int = 80) -> DataFrame:
+    """The sheet with one row of every group of similar rows: the one with the smallest row id.
+
+    Rows without words are similar to none and all stay. Of rows equal in id
+    and cell one stays; other columns of theirs that differ go with the others.
+    """
+    rows = stored(similar_rows(sheet, row_id, column, size, similarity), "similar-rows").groupBy("row_id", "cell_key").agg(
+        F.count(F.lit(1)).alias("copies"), F.count_if("is_first").alias("stay"))
+    changed = bounded(stored(rows.filter("copies <> stay").withColumnRenamed("row_id", "other_id").withColumnRenamed("cell_key", "other_key"), "similar-later"), 64)
+    source = cells(sheet, row_id, column, carry=True).select("row_id", F.xxhash64("cell").alias("cell_key"), "row")
+    joined = source.join(changed, source.row_id.eqNullSafe(changed.other_id) & (source.cell_key == changed.other_key), "left")
+    alone = joined.filter("stay is null").select("row.*")
+    # Equal rows of which one is the group's first: few, and combined before they move.
+    repeated = joined.filter("stay > 0").groupBy("row_id", "cell_key").agg(F.first("row").alias("row")).select("row.*")
+    return alone.unionByName(repeated)

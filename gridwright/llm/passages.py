@@ -6,7 +6,7 @@ import string
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import BROADCAST_BYTES, cells, named, stored
+from .frames import BROADCAST_BYTES, bounded, cells, stored
 
 #: Everything that is no word, of ASCII; other code points are word characters. Single
 #: characters, not ranges: Java then tests a bit map, in half the time.
@@ -65,7 +65,7 @@ def _with_shingles(windows: DataFrame) -> DataFrame:
 
 def lookup_passages(
     sheet: DataFrame, lookup: DataFrame, row_id: str = "row_id", column: str = "value",
-    lookup_id: str = "row_id", lookup_column: str = "value", window: int = 10,
+    lookup_id: str = "row_id", lookup_column: str = "value", window: int = 10, carry: bool = False,
 ) -> DataFrame:
     """Which words of every row's cell belong to a passage of the lookup sheet.
 
@@ -89,7 +89,8 @@ def lookup_passages(
 
     The sheet is never shuffled for the join: passages go to the executors in
     blocks of at most ``BROADCAST_BYTES``, one pass over the sheet per block,
-    and only verified hits are grouped by row.
+    and only verified hits are grouped by row. With ``carry`` the input row
+    comes along as ``row``.
     """
     source = cells(sheet, row_id, column)
     # Rows are told apart by id and content, so a repeated id mixes no texts.
@@ -124,11 +125,13 @@ def lookup_passages(
     merged = F.aggregate("spans", F.expr("cast(array() as array<struct<start: int, end: int>>)"), _merge)
     spans = hits.select(*key, merged.alias("hit_spans"))
     spans = spans.join(ids, _same(spans, ids), "left").select(spans.row_id, spans.cell_key, "hit_spans", "lookup_ids")
-    counted = rows.select(*key, F.size("words").cast("bigint").alias("n_words"))
+    counted = cells(sheet, row_id, column, carry).withColumn("cell_key", F.xxhash64("cell"))
+    counted = counted.withColumn("n_words", F.size(words_of(F.col("cell"))).cast("bigint")).drop("cell")
+    spans = bounded(stored(spans, "passage-spans"), 1024)
     out = counted.join(spans, _same(counted, spans), "left")
     length = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return out.select(
-        counted.row_id, "n_words", F.coalesce(length, F.lit(0).cast("bigint")).alias("n_hit"),
+        *["row"] * carry, counted.row_id, "n_words", F.coalesce(length, F.lit(0).cast("bigint")).alias("n_hit"),
         F.coalesce("hit_spans", F.expr("cast(array() as array<struct<start: int, end: int>>)")).alias("hit_spans"),
         F.coalesce("lookup_ids", F.expr("cast(array() as array<string>)")).alias("lookup_ids"),
     )

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import named
+from .frames import cells, named
 
 #: White space; a class of single characters, which Java tests as a bit map.
 SPACE_CLASS = r"[\x20\x09\x0A\x0B\x0C\x0D]+"
@@ -22,7 +22,8 @@ def _bucket(*words: Column) -> Column:
     return F.pmod(F.xxhash64(*words), F.lit(BUCKETS)).cast("int")
 
 
-def _words(text: Column) -> Column:
+def words_of(text: Column) -> Column:
+    """Runs of what is no white space."""
     return F.array_remove(F.split(text, SPACE_CLASS), "")
 
 
@@ -32,7 +33,7 @@ def log_ratios(sheet: DataFrame, column: str, trusted: str) -> list[float]:
     Both multinomials count every word and word pair of all rows and have one
     added to every bucket. The driver gets one row of sums per bucket.
     """
-    rows = sheet.select(F.coalesce(named(trusted).cast("boolean"), F.lit(False)).alias("t"), _words(F.coalesce(named(column).cast("string"), F.lit(""))).alias("words"))
+    rows = sheet.select(F.coalesce(named(trusted).cast("boolean"), F.lit(False)).alias("t"), words_of(F.coalesce(named(column).cast("string"), F.lit(""))).alias("words"))
     at = rows.select("t", "words", F.posexplode_outer("words").alias("i", "w"))
     after = F.get("words", F.col("i") + 1)
     pair = F.when(F.col("w").isNotNull(), F.array(_bucket(F.col("w")), F.when(after.isNotNull(), _bucket(F.col("w"), after))))
@@ -46,7 +47,7 @@ def log_ratios(sheet: DataFrame, column: str, trusted: str) -> list[float]:
     return [math.log(g / r) + level for g, r in zip(good, raw)]
 
 
-def quality_rules(sheet: DataFrame, trusted: str, row_id: str = "row_id", column: str = "value", threshold: float = THRESHOLD, least_words: int = 50) -> DataFrame:
+def quality_rules(sheet: DataFrame, trusted: str, row_id: str = "row_id", column: str = "value", threshold: float = THRESHOLD, least_words: int = 50, carry: bool = False) -> DataFrame:
     """Counts and verdict for every row's cell; ``trusted`` names a boolean column that marks the target rows.
 
     Words are runs of what is no ASCII white space. Returns per row ``row_id``,
@@ -63,14 +64,16 @@ def quality_rules(sheet: DataFrame, trusted: str, row_id: str = "row_id", column
     and its score is at least ``threshold``. Every row is decided by the same
     rule, none by a draw. Null and empty cells have no words and a score of 0,
     and fail. Repeated rows are decided alike. If no row is trusted, both
-    multinomials differ only by what all rows have in excess of the mean.
+    multinomials differ only by what all rows have in excess of the mean. With
+    ``carry`` the input row comes along as ``row``.
 
     All statistics cover all rows. The only shuffle carries at most
     ``BUCKETS`` sums per task; rows themselves never move, and the ``BUCKETS``
     log ratios go through the driver.
     """
-    text = F.coalesce(named(column).cast("string"), F.lit(""))
-    rows = sheet.select(named(row_id).alias("row_id"), text.alias("cell"), _words(text).alias("words"))
+    source = cells(sheet, row_id, column, carry).withColumn("cell", F.coalesce("cell", F.lit("")))
+    row = ["row"] if carry else []
+    rows = source.withColumn("words", words_of(F.col("cell")))
     n = F.size("words")
     window = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(
         F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i")))
@@ -79,7 +82,7 @@ def quality_rules(sheet: DataFrame, trusted: str, row_id: str = "row_id", column
     table = ",".join(f"{x:.5f}" for x in log_ratios(sheet, column, trusted))
     ratios = F.split(F.lit(table), ",").cast("array<double>")
     rows = rows.select(
-        "row_id", "words", n.cast("bigint").alias("n_words"), F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
+        *row, "row_id", "words", n.cast("bigint").alias("n_words"), F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
         F.regexp_count("cell", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"), lines.alias("lines"),
         F.when(n >= 3, F.sort_array(window)).alias("windows"),
     )
@@ -87,7 +90,7 @@ def quality_rules(sheet: DataFrame, trusted: str, row_id: str = "row_id", column
     twice = F.filter("windows", lambda x, k: F.coalesce(same(x, k + 1), F.lit(False)) | F.coalesce(same(x, k - 1), F.lit(False)))
     starts = F.sort_array(F.transform(twice, lambda x: x["i"]))
     rows = rows.select(
-        "row_id", "words", "n_words", "word_chars", "n_symbols",
+        *row, "row_id", "words", "n_words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"), starts.alias("starts"),
     )
     step = lambda s, k: F.least(F.lit(3), F.coalesce(F.get("starts", k + 1) - s, F.lit(3)))
@@ -96,7 +99,7 @@ def quality_rules(sheet: DataFrame, trusted: str, row_id: str = "row_id", column
     pair = lambda i: F.coalesce(F.when(i + 1 < n, ratio(F.get("words", i), F.get("words", i + 1))), F.lit(0.0))
     summed = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda a, i: a + ratio(F.get("words", i)) + pair(i))
     rows = rows.select(
-        "row_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"),
+        *row, "row_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"),
         F.when(n > 0, summed / (2 * n - 1)).otherwise(0.0).alias("score"),
     )
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lines, overlap, packing, passages, quality, shards, spans, toxicity, warc
-from .frames import bounded, stored
+from . import lines, overlap, packing, passages, quality, rollups, shards, spans, toxicity, warc
+from .frames import bounded, fresh_folder, stored
 
 #: Folder of the public tokenizers and the split pattern of the byte-level ones.
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -110,7 +110,7 @@ FROM b
 
 @query(OP9_SQL)
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
-    path = warc.archive_folder(spark)
+    path = fresh_folder(spark, "warc")
     warc.write_archives(table(spark, folder, "pages"), path, row_id="page_id", address="url", column="html", least_bytes=0)
     records = warc.read_archives(spark, path)
     return records.select(
@@ -129,18 +129,19 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Quality of documents; those labelled good are the trusted target."""
-    good = labels.filter("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents with ``_trusted``: whether they are labelled good."""
+    good = labels.filter("quality = 1").select(F.col("doc_id").alias("_good_id")).distinct()
     good = bounded(stored(good, "good-documents"), 16)
-    marked = docs.join(good, docs.doc_id == good.good_id, "left").select(docs.doc_id, docs.text, F.col("good_id").isNotNull().alias("trusted"))
-    return quality.quality_rules(marked, "trusted", row_id="doc_id", column="text").withColumnRenamed("row_id", "doc_id")
+    joined = docs.join(good, docs.doc_id == good._good_id, "left")
+    return joined.withColumn("_trusted", F.col("_good_id").isNotNull()).drop("_good_id")
 
 
 @query()
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
-    rows = judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    marked = good_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    rows = quality.quality_rules(marked, "_trusted", row_id="doc_id", column="text")
+    return rows.select(F.col("row_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
 @query()
@@ -162,3 +163,49 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return rows.select(
         F.col("row_id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = f"""
+WITH d AS (
+  SELECT doc_id, source, lang,
+    len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n1,
+    len({WORDS.format('text')}) AS n2,
+    row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) = 1 AS first
+  FROM documents
+),
+c AS (
+  SELECT source, lang, CASE WHEN n1 = n2 THEN 'space_words@1' ELSE 'words@2' END AS tokenizer_version,
+    CASE WHEN n1 = n2 THEN n1 ELSE n2 END AS n
+  FROM d WHERE first
+)
+SELECT source, lang, tokenizer_version, count(*) AS n_documents, sum(n)::BIGINT AS n_tokens FROM c GROUP BY ALL
+"""
+
+
+@query(OP4_SQL)
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals after four batches: all documents, later copies taken out (twice: the replay adds nothing), recounts.
+
+    Counts are by white-space words first; documents that another word rule
+    counts otherwise are revised to that rule's version.
+    """
+    keys = ["source", "lang", "tokenizer_version"]
+    docs = table(spark, folder, "documents")
+    counted = docs.select(
+        "doc_id", "source", "lang", F.lit("space_words@1").alias("tokenizer_version"), F.lit("words@2").alias("new_version"),
+        F.size(quality.words_of(F.coalesce("text", F.lit("")))).alias("tokens"), F.size(passages.words_of(F.col("text"))).alias("new_tokens"),
+        F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"),
+    )
+    counted = stored(counted, "token-counts")
+    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    marked = counted.join(first, "digest")
+    path = fresh_folder(spark, "token-ledger")
+    rollups.commit(rollups.inserts(counted, keys, "tokens"), path, "load", keys)
+    later = rollups.deletes(marked.filter("doc_id <> first_id"), keys, "tokens")
+    for _ in range(2):
+        rollups.commit(later, path, "copies out", keys)
+    other = marked.filter("doc_id = first_id and tokens <> new_tokens")
+    recount = rollups.revisions(other, keys, "tokens", ["source", "lang", "new_version"], "new_tokens")
+    rollups.commit(recount, path, "recount", keys)
+    sums = rollups.totals(spark, path, ["load", "copies out", "recount"], keys)
+    return sums.select(*keys, F.col("n_rows").alias("n_documents"), "n_tokens")

@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -19,7 +18,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import shared_folder
 from .frames import bounded, named, stored
 
 # Fixed values of the file formats.
@@ -218,8 +216,3 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     yield out(rows)
 
     return files.mapInArrow(parse, RECORDS)
-
-
-def archive_folder(spark: SparkSession) -> str:
-    """A new folder for archives in the shared place of intermediate tables."""
-    return f"{shared_folder(spark, 'llm')}/warc-{uuid.uuid4().hex}"
