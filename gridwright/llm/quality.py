@@ -103,4 +103,8 @@ def quality_rules(sheet: DataFrame, trusted: str, row_id: str = "row_id", column
         F.when(n > 0, summed / (2 * n - 1)).otherwise(0.0).alias("score"),
     )
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
+    rows = rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
+    # As a generator's output the verdict can not be pushed down with its whole
+    # expression, which would split the text again for every word.
+    facts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
+    return rows.select(*row, "row_id", F.inline(F.array(F.struct(*facts))))
