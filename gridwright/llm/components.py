@@ -2,52 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .frames import stored
 
 
-def connected(links: DataFrame) -> DataFrame:
-    """``node`` and ``root``, the smallest node it is linked to, for every node of ``links`` (``a``, ``b``: bigint).
-
-    Alternating large-star and small-star rounds: every node hangs its
-    neighbours on the smallest of them, until nothing changes. The smallest
-    neighbour is combined before the shuffle and joined back, so a hub is a
-    skewed join, which is split, and never a group. Rounds grow with the
-    logarithm of a component's diameter. Each round is written to the shared
-    folder.
-    """
-    edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = _state(edges)
-    while before[0]:
-        edges = stored(_small_star(_large_star(edges)), "links")
-        now = _state(edges)
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", "b"))).first())
-
+def local_roots(links: list[tuple[int, int]]) -> dict[int, int]:
+    """The smallest node each node is connected to by these links alone."""
+    root: dict[int, int] = {}
+    for a, b in links:
+        for x in (a, b):
+            root.setdefault(x, x)
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        root[max(a, b)] = min(a, b)
+    for x in sorted(root):  # a root is smaller, so it has its own already
+        root[x] = root[root[x]]
+    return root
 
-def _hang(of: DataFrame) -> DataFrame:
-    """(u, v): every neighbour v of u with the smallest of u and its neighbours, as (v, m)."""
-    least = of.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return of.join(least, "u")
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    links = [pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+    root = local_roots(links)
+    yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in (root.keys(), root.values())], ["node", "root"])
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    return _hang(both).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
+def connected(links: DataFrame) -> DataFrame:
+    """``node`` and ``root``, the smallest node it is linked to, for every other node of ``links`` (``a``, ``b``: bigint).
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    hung = _hang(down)
-    return (
-        hung.select(F.col("v").alias("a"), F.col("m").alias("b"))
-        .unionByName(hung.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        .filter("a <> b").distinct()
-    )
+    Rounds of contraction: each partition connects its own links; a node met
+    in several partitions links the roots it has there, and these links are
+    the next, smaller round. A node has at most one row per partition, so hubs
+    are no larger than others, and a round moves each node once per partition. When no roots are left to link, the
+    rounds are followed back. Every round is written to the shared folder.
+    """
+    rounds = []
+    while True:
+        stars = links.mapInArrow(_stars, "node bigint, root bigint")
+        nodes = stored(stars.groupBy("node").agg(F.min("root").alias("least"), F.collect_set("root").alias("roots")), "contraction")
+        rounds.append(nodes.select("node", "least"))
+        between = nodes.filter(F.size("roots") > 1).select(F.explode("roots").alias("a"), F.col("least").alias("b")).filter("a <> b")
+        links = stored(between.distinct(), "root-links")
+        if links.isEmpty():
+            break
+    out = rounds.pop()
+    while rounds:
+        above = out.select(F.col("node").alias("least"), F.col("least").alias("top"))
+        out = rounds.pop().join(above, "least", "left").select("node", F.coalesce("top", "least").alias("least"))
+    return stored(out.filter("node <> least").select("node", F.col("least").alias("root")), "roots")

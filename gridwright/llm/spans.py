@@ -155,7 +155,8 @@ def repeated_spans(sheet: DataFrame, row_id: str = "row_id", column: str = "valu
     keyed = source.select(F.coalesce("cell", F.lit("")).alias("cell"), F.xxhash64(F.coalesce("cell", F.lit(""))).alias("cell_key"))
     nodes = _first_groups(keyed, length)
     spans = None
-    for width in (None, *WIDTHS):
+    # A part of more starts than half a string would have no bytes in common.
+    for width in (None, *(w for w in WIDTHS if w <= max(1, length // 2))):
         if width:
             nodes = stored(_finer_groups(keyed, carried, length, width).distinct(), "finer-groups")
         cores = _several(nodes, "core", "cores")
