@@ -135,6 +135,11 @@ def std_bool(c) -> Column:
 # --- Chinese numerals --------------------------------------------------------
 
 _UNITS = {"十": 10.0, "百": 100.0, "千": 1000.0, "万": 1e4, "亿": 1e8}
+_SMALL_UNITS = {"角": 0.1, "毛": 0.1, "分": 0.01, "厘": 0.001}
+_PLACED = "[0-9][毛角分厘]?"
+# Words around a numeral that say it is not exact.
+_MINUS = "^[负負−－-]"
+_ABOUT = "大约|大概|左右|约|多|余|来"
 _NUMERAL = r"([0-9]+(?:\.[0-9]+)?|[十百千万亿])"
 
 
@@ -166,13 +171,24 @@ def _cn_total(s: Column) -> Column:
     return s["high"] + s["mid"] + s["low"] + s["digit"] * place
 
 
+def _cn_place(total, place) -> Column:
+    named = (("sum", total), ("place", place))
+    return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast("double").alias(k) for k, v in named])
+
+
+def _cn_place_step(s: Column, token: Column) -> Column:
+    """A digit counts by the unit behind it, without one as the next place after the digit before."""
+    worth = F.create_map(*[F.lit(x) for pair in _SMALL_UNITS.items() for x in pair])
+    place = F.coalesce(F.try_element_at(worth, F.substring(token, 2, 1)), s["place"])
+    return _cn_place(s["sum"] + F.left(token, F.lit(1)).cast("double") * place, place / 10)
+
+
 def _cn_plain(plain: Column) -> Column:
     """Value of a numeral written with plain digits and units, null when it is none."""
     small_only = plain.rlike("^[^块元圆]*[毛角分厘]")
     whole = F.when(small_only, "").otherwise(F.regexp_extract(plain, "^([^块元圆钱]*)", 1))
     small = F.when(small_only, plain).otherwise(F.regexp_extract(plain, "[块元圆](.*)$", 1))
-    tenths = F.left(F.regexp_replace(small, "[^0-9]", ""), F.lit(3))
-    fraction = F.coalesce(F.concat(F.lit("0."), tenths).try_cast("double"), F.lit(0.0))
+    fraction = F.aggregate(F.regexp_extract_all(small, F.lit(_PLACED), 0), _cn_place(0.0, 0.1), _cn_place_step, lambda x: x["sum"])
     tokens = F.regexp_extract_all(whole, F.lit(_NUMERAL), 1)
     total = F.round(F.aggregate(tokens, _cn_state(0.0, 0.0, 0.0, 0.0, 0.0), _cn_step, _cn_total) + fraction, 4)
     shape = plain.rlike("^[0-9.十百千万亿]*[块元圆钱]?[0-9毛角分厘]*$") & plain.rlike("[0-9十百千万亿]")
@@ -180,9 +196,10 @@ def _cn_plain(plain: Column) -> Column:
 
 
 def _cn_signed(raw: Column) -> Column:
-    written = raw.rlike(f"[{CN_DIGIT_FORMS}{CN_UNIT_FORMS}{CN_UNIT_VALUES}.]")
-    unsigned = F.regexp_replace(F.translate(raw, CN_DIGIT_FORMS + CN_UNIT_FORMS, CN_DIGIT_VALUES + CN_UNIT_VALUES), "^[负負]", "")
-    sign = F.when(raw.rlike("^[负負]"), -1.0).otherwise(1.0)
+    written = raw.rlike(f"[{CN_DIGIT_FORMS}{CN_UNIT_FORMS}{CN_UNIT_VALUES}两兩廿.]")
+    spelt = F.regexp_replace(raw, "廿", "二十")
+    unsigned = F.regexp_replace(F.translate(spelt, CN_DIGIT_FORMS + CN_UNIT_FORMS + "两兩", CN_DIGIT_VALUES + CN_UNIT_VALUES + "22"), _MINUS, "")
+    sign = F.when(raw.rlike(_MINUS), -1.0).otherwise(1.0)
     return F.when(written, bind(unsigned, _cn_plain) * sign)
 
 
@@ -190,9 +207,11 @@ def cn_number(c) -> Column:
     """Chinese or mixed numeral as a number, null when there is none or the value is 0.
 
     Digit and unit forms are translated, the whole part is split into tokens
-    and folded; digits after 元 are tenths, hundredths and thousandths.
+    and folded; digits after 元 count by the unit behind them (角, 分, 厘), bare
+    ones place by place. A leading minus sign or 负 is kept, words such as 大约
+    are passed over.
     """
-    return bind(F.regexp_replace(without_spaces(c), "[约大概左右多余-]", ""), _cn_signed)
+    return bind(F.regexp_replace(without_spaces(c), _ABOUT, ""), _cn_signed)
 
 
 def cn_number_text(c) -> Column:

@@ -21,8 +21,6 @@ OPERATORS = (
     "EQ", "NE", "GT", "GTE", "LT", "LTE", "CONTAINS", "STARTS_WITH", "ENDS_WITH",
     "BETWEEN", "IN", "NOT_IN", "IS_NULL", "NOT_NULL",
 )
-# Longer lists become a semi or anti join instead of a literal list in the plan.
-MAX_LITERAL_LIST = 1000
 
 
 @dataclass(frozen=True)
@@ -86,6 +84,9 @@ def _same(c: Column, dtype: T.DataType, v) -> Column:
 
 
 def _member(c: Column, dtype: T.DataType, values: list) -> Column:
+    """Membership with one meaning at every length; long lists are planned as a hash set."""
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return c.isin(*[F.lit(v).cast(dtype) for v in values])
     if isinstance(dtype, T.NumericType) and all(_is_number(v) for v in values):
         return c.isin(*[float(v) if isinstance(v, str) else v for v in values])
     return F.lower(text(c)).isin(*[str(v).lower() for v in values])
@@ -156,33 +157,24 @@ def combine(df: DataFrame, conds, mode: str = "fold") -> Column:
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def _long_list(conds, mode) -> Cond | None:
-    if len(conds) == 1 and conds[0].op in ("IN", "NOT_IN") and conds[0].other is None:
-        if len(conds[0].value) > MAX_LITERAL_LIST:
-            return conds[0]
-    return None
-
-
 def filter_rows(df: DataFrame, conds, mode: str = "fold") -> DataFrame:
-    conds = [c if isinstance(c, Cond) else Cond(*c) for c in conds]
-    long = _long_list(conds, mode)
-    if long is not None:
-        return _filter_by_list(df, long)
     return df.filter(combine(df, conds, mode))
 
 
-def _filter_by_list(df: DataFrame, c: Cond) -> DataFrame:
-    listed = df.sparkSession.createDataFrame([(str(v).lower(),) for v in c.value], "_listed string")
-    return filter_by_table(df, c.column, listed, "_listed", keep=c.op == "IN")
-
-
 def filter_by_table(df: DataFrame, column: str, listed: DataFrame, listed_column: str, keep: bool = True) -> DataFrame:
-    """Membership in a column of another table, as a semi or anti join."""
-    keys = listed.select(F.lower(text(col(listed_column))).alias("_key")).filter("_key is not null")
-    left = df.withColumn("_key", F.lower(text(col(column))))
+    """Membership in a column of another table, as a semi or anti join.
+
+    Numbers meet numbers and values of one type meet as they are; all else is
+    compared as lower-cased text.
+    """
+    mine, theirs = df.schema[column].dataType, listed.schema[listed_column].dataType
+    typed = (isinstance(mine, T.NumericType) and isinstance(theirs, T.NumericType)) or (mine == theirs and not isinstance(mine, T.StringType))
+    key = (lambda c: c) if typed else (lambda c: F.lower(text(c)))
+    keys = listed.select(key(col(listed_column)).alias("_key")).filter("_key is not null")
+    left = df.withColumn("_key", key(col(column)))
     if keep:
-        return left.join(keys, "_key", "left_semi").drop("_key")
-    return left.filter("_key is not null").join(keys, "_key", "left_anti").drop("_key")
+        return left.join(keys, "_key", "left_semi").select(*[col(n) for n in df.columns])
+    return left.filter("_key is not null").join(keys, "_key", "left_anti").select(*[col(n) for n in df.columns])
 
 
 def delete_where(df: DataFrame, conds, mode: str = "fold") -> DataFrame:

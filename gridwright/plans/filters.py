@@ -1,5 +1,7 @@
 """Filters."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..operators.predicates import (
@@ -133,3 +135,31 @@ def filter_in_table(t):
 def filter_not_in_table(t):
     listed = filter_rows(t.customer, [cond("c_mktsegment", "EQ", "machinery")])
     return filter_by_table(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", listed, "c_custkey", keep=False)
+
+
+@query("""SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT 4 * i FROM range(1500) t(i))""")
+def filter_in_long_integers(t):
+    """1,500 values written as floats on an integer column."""
+    return filter_rows(t.orders.select("o_orderkey", "o_totalprice"), [cond("o_orderkey", "IN", [4.0 * i for i in range(1500)])])
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE floor(l_extendedprice) NOT IN (SELECT 3 * i FROM range(20000) t(i))""")
+def filter_not_in_long_doubles(t):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice", F.floor("l_extendedprice").cast("double").alias("whole"))
+    return filter_rows(rows, [cond("whole", "NOT_IN", [3 * i for i in range(20000)])]).drop("whole")
+
+
+@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders
+          WHERE CAST(o_orderdate AS DATE) IN (SELECT CAST(DATE '1992-01-01' + CAST(2 * i AS INTEGER) AS DATE) FROM range(1200) t(i)) OR o_orderkey < 100""")
+def filter_in_long_dates_folded(t):
+    """1,200 days as text on a date column, joined to another condition."""
+    rows = t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    start = dt.date(1992, 1, 1)
+    days = [str(start + dt.timedelta(days=2 * i)) for i in range(1200)]
+    return filter_rows(rows, [cond("day", "IN", days), cond("o_orderkey", "LT", 100, logic="OR")])
+
+
+@query("""SELECT c_custkey, c_name FROM customer WHERE lower(c_name) NOT IN (SELECT 'customer#' || lpad(CAST(2 * i AS VARCHAR), 9, '0') FROM range(1100) t(i)) AND c_custkey > 10""")
+def filter_not_in_long_texts_folded(t):
+    names = [f"CUSTOMER#{2 * i:09d}" for i in range(1100)]
+    return filter_rows(t.customer.select("c_custkey", "c_name"), [cond("c_name", "NOT_IN", names), cond("c_custkey", "GT", 10)])

@@ -15,7 +15,6 @@ MANIFEST = T.StructType([
     T.StructField("parent", T.IntegerType()), T.StructField("operation", T.StringType()),
     T.StructField("created", T.StringType()),
 ])
-NEWEST = 20
 
 
 def _manifest(root: str) -> str:
@@ -26,11 +25,13 @@ def _folder(root: str, version: int) -> str:
     return f"{root.rstrip('/')}/v{version}"
 
 
-def versions(spark: SparkSession, root: str, newest: int | None = NEWEST) -> DataFrame:
-    """Manifest rows, newest first."""
+def versions(spark: SparkSession, root: str, newest: int | None = None) -> DataFrame:
+    """All manifest rows, newest first, or as many of them as the caller asks for."""
     try:
         rows = spark.read.schema(MANIFEST).json(_manifest(root))
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # an unreadable manifest is no empty one
+            raise
         rows = spark.createDataFrame([], MANIFEST)
     ordered = rows.orderBy(F.col("version").desc())
     return ordered.limit(newest) if newest else ordered

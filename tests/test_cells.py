@@ -148,7 +148,7 @@ def test_std_bool(spark, raw, want):
 
 
 @pytest.mark.parametrize("raw, want", [
-    ("三百二十", 320.0), ("三百五", 350.0), ("三百零五", 305.0), ("一万五", 15000.0), ("十五", 15.0), ("两", None), ("负二十", -20.0),
+    ("三百二十", 320.0), ("三百五", 350.0), ("三百零五", 305.0), ("一万五", 15000.0), ("十五", 15.0), ("两", 2.0), ("两百", 200.0), ("廿五", 25.0), ("-三百", -300.0), ("五元五分", 5.05), ("五元零五厘", 5.005), ("大约三百左右", 300.0), ("九元一角二分三厘", 9.123), ("三元五", 3.5), ("五角五分", 0.55), ("负二十", -20.0),
     ("三万五千亿", 3.5e12), ("一亿三千万", 1.3e8), ("壹佰贰拾元", 120.0), ("五元三角二分", 5.32), ("3千5", 3500.0), ("约三十", 30.0),
     ("零", None), ("many", None), ("123-456", None), (None, None),
 ])
