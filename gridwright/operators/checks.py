@@ -9,7 +9,8 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -214,25 +215,25 @@ def _comparable(c: Column, dtype: T.DataType) -> Column:
     """Sort key in a form that Python compares like Spark does."""
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(c.cast("timestamp"))
-    return c.cast("double") if isinstance(dtype, (T.BooleanType, T.DecimalType)) else c
-
-
-def _out_of_order(prev: pd.DataFrame, cur: pd.DataFrame, ascending: list[bool]) -> np.ndarray:
-    """For aligned rows: whether ``cur`` must not follow ``prev``. Nulls are last in both directions."""
-    n = len(cur)
-    tied, bad = np.ones(n, dtype=bool), np.zeros(n, dtype=bool)
-    for i, asc in enumerate(ascending):
-        a, b = prev.iloc[:, i], cur.iloc[:, i]
-        na, nb = a.isna().to_numpy(), b.isna().to_numpy()
-        both = ~na & ~nb
-        less, more = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
-        x, y = a.to_numpy()[both], b.to_numpy()[both]
-        less[both], more[both] = x < y, x > y
-        wrong = (more if asc else less) | (na & ~nb)
-        equal = (both & ~less & ~more) | (na & nb)
-        bad |= tied & wrong
-        tied &= equal
-    return bad
+    return c.cast("int") if isinstance(dtype, T.BooleanType) else c
+
+
+def _out_of_order(prev: pa.RecordBatch, cur: pa.RecordBatch, ascending: list[bool]) -> int:
+    """How many rows of ``cur`` must not follow the row of ``prev`` beside them.
+
+    Arrow compares integers and decimals exactly. Nulls are last in both
+    directions; NaN is the largest number.
+    """
+    tied, bad = np.ones(len(cur), dtype=bool), np.zeros(len(cur), dtype=bool)
+    for a, b, asc in zip(prev.columns, cur.columns, ascending):
+        na, nb = (np.asarray(x.is_null()) for x in (a, b))
+        less, more = (np.asarray(f(a, b).fill_null(False)) for f in (pc.less, pc.greater))
+        if pa.types.is_floating(a.type):
+            ia, ib = (np.asarray(pc.is_nan(x).fill_null(False)) for x in (a, b))
+            less, more = less | (ib & ~ia & ~na), more | (ia & ~ib & ~nb)
+        bad |= tied & ((more if asc else less) | (na & ~nb))
+        tied &= (na & nb) | (~na & ~nb & ~less & ~more)
+    return int(bad.sum())
 
 
 def sort_violations(df: DataFrame, sorts) -> DataFrame:
@@ -257,19 +258,20 @@ def sort_violations(df: DataFrame, sorts) -> DataFrame:
     def scan(batches):
         first = last = None
         rows = bad = 0
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            if not len(batch):
                 continue
-            chain = pdf if last is None else pd.concat([last, pdf], ignore_index=True)
-            bad += int(_out_of_order(chain.iloc[:-1], chain.iloc[1:], ascending).sum())
-            rows += len(pdf)
-            first = pdf.iloc[:1] if first is None else first
-            last = pdf.iloc[-1:]
+            if last is not None:
+                bad += _out_of_order(last, batch.slice(0, 1), ascending)
+            bad += _out_of_order(batch.slice(0, len(batch) - 1), batch.slice(1), ascending)
+            rows += len(batch)
+            first = batch.slice(0, 1) if first is None else first
+            last = batch.slice(len(batch) - 1)
         if rows:
-            head = {f"first_{n}": first[n].to_list() for n in names} | {f"last_{n}": last[n].to_list() for n in names}
-            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "rows": [rows], "bad": [bad], **head})
+            counts = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([rows], pa.int64()), pa.array([bad], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*counts, *first.columns, *last.columns], schema.fieldNames())
 
-    report = keys.mapInPandas(scan, schema)
+    report = keys.mapInArrow(scan, schema)
     order = Window.orderBy("part")
     tied, border = F.lit(True), F.lit(False)
     for n, asc in zip(names, ascending):

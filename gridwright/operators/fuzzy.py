@@ -279,7 +279,7 @@ def _mapping_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def key_mapping(left: DataFrame, left_column: str, right: DataFrame, right_column: str,
-                left_order=(), right_order=(), one_to_one: bool = False, max_rounds: int = 1000) -> DataFrame:
+                left_order=(), right_order=(), one_to_one: bool = False) -> DataFrame:
     """Map values of one column to values of another: equal, then contained, then similar.
 
     Result: one row per distinct left value with ``source``, ``target``,
@@ -296,7 +296,7 @@ def key_mapping(left: DataFrame, left_column: str, right: DataFrame, right_colum
     preference = F.struct(F.col("phase"), similar.alias("s"), F.col("rorder"), F.col("target"))
     options = wide.select("source", "lorder", "target", "phase", "confidence", preference.alias("pref"))
     if one_to_one:
-        chosen = _assign(options, max_rounds)
+        chosen = _assign(options)
     else:
         chosen = first_rows(options, [col("source")], [col("pref").asc()])
     shown = F.when(F.col("phase") == 3, F.least(F.lit(0.8), F.col("confidence"))).otherwise(F.col("confidence"))
@@ -304,29 +304,32 @@ def key_mapping(left: DataFrame, left_column: str, right: DataFrame, right_colum
     return result.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
 
 
-def _assign(options: DataFrame, max_rounds: int) -> DataFrame:
+def _assign(options: DataFrame) -> DataFrame:
     """Each left value in turn takes its best free right value.
 
     Computed by rounds of proposals: every left value proposes to its best
-    remaining partner, every right value keeps the earliest proposer. As all
-    right values rank the left side alike, the outcome is that of going
-    through the left values one by one.
+    remaining partner, every right value keeps the earliest proposer, and all
+    later left values lose that partner at once, whether they proposed or not.
+    As all right values rank the left side alike, the outcome is that of going
+    through the left values one by one. A round without a loser ends it; every
+    other round removes options, so it does end.
     """
     options = checkpointed(options)
     remaining = options
-    for _ in range(max_rounds):
+    while True:
         best = first_rows(remaining, [col("source")], [col("pref").asc()])
-        rank = Window.partitionBy("target").orderBy(F.col("lorder").asc(), F.col("source").asc())
-        judged = checkpointed(best.withColumn("_r", F.row_number().over(rank)))
-        lost = judged.filter("_r > 1").select("source", "target")
-        if lost.isEmpty():
+        kept = best.groupBy(F.col("target").alias("_held")).agg(F.min(F.struct("lorder", "source")).alias("_first"))
+        judged = checkpointed(best.join(kept, F.col("target") == F.col("_held")))
+        mine = F.struct("lorder", "source") == F.col("_first")
+        if judged.filter(~mine).isEmpty():
             break
-        remaining = checkpointed(remaining.join(lost, ["source", "target"], "left_anti"))
-    else:
-        raise RuntimeError(f"no stable mapping after {max_rounds} rounds")
+        held = judged.filter(mine).select("_held", "_first")
+        left = remaining.join(held, F.col("target") == F.col("_held"), "left")
+        remaining = checkpointed(left.filter(F.col("_held").isNull() | (F.struct("lorder", "source") <= F.col("_first"))).drop("_held", "_first"))
+    judged = judged.drop("_held", "_first")
     equal = first_rows(options.filter("phase = 1"), [col("source")], [col("pref").asc()])
     shared = equal.join(judged.select("source"), "source", "left_anti")
-    return judged.drop("_r").unionByName(shared)
+    return judged.unionByName(shared)
 
 
 def mapping_stats(mapping: DataFrame) -> DataFrame:

@@ -31,8 +31,10 @@ def _ordered(df: DataFrame, keys: list[tuple[Column, bool]], tie: str | None) ->
     """
     names = [f"_sort{i}" for i in range(len(keys))]
     order = [F.col(n).asc_nulls_last() if asc else F.col(n).desc_nulls_last() for n, (_, asc) in zip(names, keys)]
-    if tie:
-        order.append(col(tie).asc_nulls_last())
+    # The last key spreads rows that are equal in all others over tasks.
+    order.append(col(tie).asc_nulls_last() if tie else F.col("_sort_last"))
+    if not tie:
+        df = df.withColumn("_sort_last", F.xxhash64(*[col(n) for n in df.columns]))
     return df.withColumns({n: k for n, (k, _) in zip(names, keys)}).orderBy(*order)
 
 

@@ -29,32 +29,52 @@ def _cell(method: str) -> Column:
     }[method]
 
 
+def _parts(df: DataFrame, values: str, null_as_zero: bool) -> list[Column]:
+    c = numeric_cell(df, values)
+    if null_as_zero:
+        c = F.coalesce(c, F.lit(0))
+    return [
+        F.sum(c).alias("_sum"), F.count(c).alias("_num"), F.max(c).alias("_max"), F.min(c).alias("_min"),
+        F.count_if(~isnull_empty(cell(df, values))).alias("_count"),
+    ]
+
+
+def _label(df: DataFrame, columns: str) -> Column:
+    return F.when(isnull_empty(cell(df, columns)), F.lit(BLANK)).otherwise(text(cell(df, columns)))
+
+
+def pivot_cells(df: DataFrame, rows, values: str, agg: str, columns: str, null_as_zero: bool = False) -> DataFrame:
+    """The cross-tab as a tall table: the row fields, ``label`` and ``value``, for any number of labels."""
+    batch_only(df, "pivot_cells")
+    if agg not in METHODS:
+        raise ValueError(f"unknown method {agg!r}")
+    keys = [col(r) for r in rows]
+    cells = df.groupBy(*keys, _label(df, columns).alias("label")).agg(*_parts(df, values, null_as_zero))
+    return cells.groupBy(*keys, "label").agg(F.coalesce(_cell(agg), F.lit(0.0)).alias("value"))
+
+
 def pivot_table(df: DataFrame, rows, values: str, agg: str, columns: str | None = None, total: bool = True,
-                max_columns: int = 1000, null_as_zero: bool = False) -> DataFrame:
+                max_columns: int | None = None, null_as_zero: bool = False) -> DataFrame:
     """Group by the row fields, with one ``_pvt_<value>`` column per value of the column field.
 
     The table is scanned once into partial aggregates per (rows, column value);
     the cross-tab and its totals row are both built from those, so totals come
-    from the source rows and not from rounded cells.
+    from the source rows and not from rounded cells. ``max_columns`` refuses
+    wider results where the caller sets it; ``pivot_cells`` has no width.
     """
     batch_only(df, "pivot_table")
     if agg not in METHODS:
         raise ValueError(f"unknown method {agg!r}")
-    c = numeric_cell(df, values)
-    if null_as_zero:
-        c = F.coalesce(c, F.lit(0))
-    parts = [
-        F.sum(c).alias("_sum"), F.count(c).alias("_num"), F.max(c).alias("_max"), F.min(c).alias("_min"),
-        F.count_if(~isnull_empty(cell(df, values))).alias("_count"),
-    ]
+    parts = _parts(df, values, null_as_zero)
     if columns is None:
         cells = df.groupBy(*[col(r) for r in rows]).agg(*parts)
         out = cells.groupBy(*[col(r) for r in rows]).agg(_cell(agg).alias(values))
         return out.fillna(0.0, [values])
 
-    label = F.when(isnull_empty(cell(df, columns)), F.lit(BLANK)).otherwise(text(cell(df, columns)))
-    found = df.select(label.alias("v")).distinct().limit(max_columns + 1).collect()
-    if len(found) > max_columns:
+    label = _label(df, columns)
+    labels = df.select(label.alias("v")).distinct()
+    found = (labels.limit(max_columns + 1) if max_columns else labels).collect()
+    if max_columns and len(found) > max_columns:
         raise TooManyColumns(f"{columns} has more than {max_columns} distinct values")
     names = sorted(r["v"] for r in found)
     cells = df.groupBy(*[col(r) for r in rows], label.alias("_label")).agg(*parts)

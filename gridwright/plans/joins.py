@@ -10,10 +10,11 @@ from .registry import query
 
 
 @query("""SELECT o_orderkey, o_custkey, c_name AS "_lkp_c_name", c_mktsegment AS "_lkp_c_mktsegment"
-          FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 <> 0""")
+          FROM orders LEFT JOIN customer ON CASE WHEN c_custkey % 3 = 0 THEN -1 - c_custkey ELSE c_custkey END = o_custkey""")
 def lookup_single_key(t):
-    some = t.customer.filter(F.col("c_custkey") % 3 != 0).select("c_custkey", "c_name", "c_mktsegment")
-    return lookup(t.orders.select("o_orderkey", "o_custkey"), some, [("o_custkey", "c_custkey")], ["c_custkey"])
+    k = F.col("c_custkey")
+    other = t.customer.select(F.when(k % 3 == 0, -1 - k).otherwise(k).alias("c_custkey"), "c_name", "c_mktsegment")
+    return lookup(t.orders.select("o_orderkey", "o_custkey"), other, [("o_custkey", "c_custkey")], ["c_custkey"])
 
 
 @query("""WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer) WHERE n = 1)
@@ -48,7 +49,8 @@ def lookup_composite_key(t):
 
 
 def _chain(t, flags=False):
-    n = t.nation.filter(F.col("n_nationkey") % 4 != 0)
+    k = F.col("n_nationkey")
+    n = t.nation.withColumn("n_nationkey", F.when(k % 4 == 0, -1 - k).otherwise(k))
     return lookup_chain(t.orders.select("o_orderkey", "o_custkey"), [
         (t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), None, ["c_nationkey"]),
         (n, [("_lkp_c_nationkey", "n_nationkey")], ["n_name"]),
@@ -57,7 +59,7 @@ def _chain(t, flags=False):
 
 
 CHAIN = """FROM orders LEFT JOIN customer ON c_custkey = o_custkey
-  LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey % 4 <> 0 LEFT JOIN region ON r_regionkey = n_regionkey"""
+  LEFT JOIN nation ON CASE WHEN n_nationkey % 4 = 0 THEN -1 - n_nationkey ELSE n_nationkey END = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey"""
 
 
 @query(f"""SELECT o_orderkey, o_custkey, c_nationkey AS "_lkp_c_nationkey", n_name AS "_lkp_n_name",
@@ -75,11 +77,11 @@ def lookup_match_stats(t):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_returnflag, r.c_name AS "_lkp_c_name" FROM lineitem
-          LEFT JOIN (SELECT CASE c_custkey WHEN 0 THEN 'A' WHEN 1 THEN 'N' END AS flag, c_name FROM customer WHERE c_custkey < 2) r ON r.flag = l_returnflag""")
+          LEFT JOIN (SELECT CASE c_custkey WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE c_name END AS flag, c_name FROM customer) r ON r.flag = l_returnflag""")
 def lookup_hot_key(t):
     """Three left keys in all, each with about a third of the rows: hot keys are salted."""
     k = F.col("c_custkey")
-    right = t.customer.filter(k < 2).select(F.when(k == 0, "a").otherwise("n").alias("flag"), "c_name")
+    right = t.customer.select(F.when(k == 0, "a").when(k == 1, "n").otherwise(F.col("c_name")).alias("flag"), "c_name")
     return lookup(t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag"), right, [("l_returnflag", "flag")], ["c_name"], skew="salt")
 
 
@@ -152,12 +154,12 @@ def _targets(t):
     k, n = F.col("p_partkey"), F.col("p_name")
     first = F.substring_index(n, " ", 1)
     out = F.when(k % 3 == 0, first).when(k % 3 == 1, F.concat(n, F.lit(" set"))).otherwise(F.concat(F.lit("X"), F.substring(n, 2, 100)))
-    return t.part.filter(k % 2 == 0).select(out.alias("dst"), F.col("p_partkey").alias("ro"))
+    return t.part.select(out.alias("dst"), F.col("p_partkey").alias("ro"))
 
 
 KEYS = """l AS (SELECT p_name AS src, min(p_partkey) AS lo FROM part GROUP BY 1),
  r AS (SELECT dst, min(p_partkey) AS ro FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN p_name || ' set'
-         ELSE 'X' || substr(p_name, 2) END AS dst FROM part WHERE p_partkey % 2 = 0) GROUP BY 1),
+         ELSE 'X' || substr(p_name, 2) END AS dst FROM part) GROUP BY 1),
  c AS (SELECT src, lo, dst, ro, lower(src) AS a, lower(dst) AS b, levenshtein(lower(src), lower(dst))::DOUBLE AS d,
          greatest(length(src), length(dst))::DOUBLE AS mx, least(length(src), length(dst))::DOUBLE AS mn FROM l, r),
  s AS (SELECT *, CASE WHEN a = b THEN 1 WHEN contains(a, b) OR contains(b, a) THEN 2 WHEN 1 - d / mx >= 0.6 THEN 3 END AS phase,

@@ -24,11 +24,11 @@ def sort_whole_table(t):
 
 
 @query("""SELECT o_orderkey, v FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN o_orderkey::VARCHAR ELSE o_orderpriority END AS v FROM orders)
-          ORDER BY v IS NULL, try_cast(v AS DOUBLE) IS NULL, try_cast(v AS DOUBLE), v, o_orderkey LIMIT 9000""")
+          ORDER BY v IS NULL, try_cast(v AS DOUBLE) IS NULL, try_cast(v AS DOUBLE), v, o_orderkey""")
 def sort_mixed_cells(t):
     k = F.col("o_orderkey")
     v = F.when(k % 3 == 1, k.cast("string")).when(k % 3 == 2, F.col("o_orderpriority"))
-    return sort_rows(t.orders.select("o_orderkey", v.alias("v")), [("v", True)], limit=9000, tie="o_orderkey")
+    return sort_rows(t.orders.select("o_orderkey", v.alias("v")), [("v", True)], tie="o_orderkey")
 
 
 @query("SELECT event_id, user_id, value FROM events ORDER BY value DESC, event_id LIMIT 50")

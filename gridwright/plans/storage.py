@@ -1,6 +1,7 @@
 """Round trips through files and versions, written to the shared folder of the session."""
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -48,13 +49,20 @@ def version_round_trip(t):
     return read_version(t.spark, path, second)
 
 
-@query("""SELECT 1 AS version, '1' AS label, NULL::INT AS parent, 'load' AS operation UNION ALL SELECT 2, '1.1', 1, 'filter'
-  UNION ALL SELECT 3, '1.2', 1, 'sort' UNION ALL SELECT 4, '1.1.1', 2, 'clean' UNION ALL SELECT 5, '2', NULL, 'load'""")
+@query("""WITH v AS (
+    SELECT * FROM (VALUES (1, '1', NULL::INT, 'load'), (2, '1.1', 1, 'filter'), (3, '1.2', 1, 'sort'), (4, '1.1.1', 2, 'clean')) t(version, label, parent, operation)
+    UNION ALL SELECT i, CAST(i - 3 AS VARCHAR), NULL::INT, 'load' FROM range(5, 26) r(i))
+  SELECT version::INT AS version, label, parent, operation, (SELECT count(*) FROM region WHERE r_regionkey <> v.version % 7) AS n_rows FROM v""")
 def version_labels(t):
-    path, rows = _fresh(t, "labels"), t.region
-    a = write_version(rows, path, "load")
-    b = write_version(rows, path, "filter", a)
-    write_version(rows, path, "sort", a)
-    write_version(rows, path, "clean", b)
-    write_version(rows, path, "load")
-    return versions(t.spark, path).select("version", "label", "parent", "operation")
+    """Every one of 25 versions is listed, with the rows it has."""
+    path = _fresh(t, "labels")
+    rows = lambda v: t.region.filter(F.col("r_regionkey") != v % 7)
+    a = write_version(rows(1), path, "load")
+    b = write_version(rows(2), path, "filter", a)
+    write_version(rows(3), path, "sort", a)
+    write_version(rows(4), path, "clean", b)
+    for v in range(5, 26):
+        write_version(rows(v), path, "load")
+    counts = [read_version(t.spark, path, v).agg(F.lit(v).alias("version"), F.count(F.lit(1)).alias("n_rows")) for v in range(1, 26)]
+    sizes = reduce(lambda x, y: x.unionByName(y), counts)
+    return versions(t.spark, path).select("version", "label", "parent", "operation").join(sizes, "version")

@@ -331,3 +331,42 @@ def test_checks_and_diff(spark, staff):
     twice = staff.union(staff.filter("id = 1"))
     assert C.table_diff(staff, twice).first()["rows_added"] == 1
     assert dict(values(C.row_changes(staff, twice, ["id"]), "id", "status"))[1] == "updated"
+
+
+def test_sort_check_is_exact(spark):
+    from decimal import Decimal
+
+    big = 2 ** 53
+    rows = spark.createDataFrame([(big + 1,), (big,), (None,)], "k bigint").coalesce(1)
+    assert check_sort_rows(rows, [("k", True)]) == (3, 1)
+    fine = [(Decimal("1.00000000000000000002"),), (Decimal("1.00000000000000000001"),)]
+    assert check_sort_rows(spark.createDataFrame(fine, "k decimal(38,20)").coalesce(1), [("k", True)]) == (2, 1)
+    assert check_sort_rows(spark.createDataFrame(fine, "k decimal(38,20)").coalesce(1), [("k", False)]) == (2, 0)
+    floats = spark.createDataFrame([(float("nan"),), (1.0,), (None,)], "k double").coalesce(1)
+    assert check_sort_rows(floats, [("k", True)]) == (3, 1)
+    assert check_sort_rows(floats, [("k", False)]) == (3, 0)
+
+
+def check_sort_rows(df, sorts):
+    from gridwright.operators.checks import sort_violations
+
+    row = sort_violations(df, sorts).first()
+    return row["row_count"], row["violations"]
+
+
+def test_one_to_one_mapping_with_many_contenders(spark):
+    """Every left value prefers the same targets; the longest chain of rounds is no limit."""
+    from gridwright.operators.fuzzy import key_mapping
+
+    left = spark.createDataFrame([(f"item{i:02d}", i) for i in range(12)], "a string, o int")
+    right = spark.createDataFrame([(f"item{i:02d}x", i) for i in range(12)], "b string, o int")
+    got = {r["source"]: r["target"] for r in key_mapping(left, "a", right, "b", ["o"], ["o"], one_to_one=True).collect()}
+    assert got == {f"item{i:02d}": f"item{i:02d}x" for i in range(12)}
+
+
+def test_tall_pivot_has_no_width(spark):
+    from gridwright.operators.pivots import pivot_cells
+
+    df = spark.range(3000).selectExpr("id % 2 AS r", "cast(id AS string) AS c", "cast(id AS double) AS v")
+    got = pivot_cells(df, ["r"], "v", "SUM", "c")
+    assert got.count() == 3000 and got.agg({"value": "sum"}).first()[0] == 2999 * 1500.0
