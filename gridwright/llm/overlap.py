@@ -13,8 +13,9 @@ from .frames import bounded, cells, stored
 from .hashing import FOLDED_VALUES, NOT_SPACE, Spans, chunks, mix, rolled, segment_of, word_bounds
 from .packing import _arrow_type
 
-#: Groups that tokens are hashed into: the dimensions of a count vector.
-GROUPS = 64
+#: Groups that tokens are hashed into, the dimensions of a count vector, for sets of
+#: up to so many tokens. Unrelated sets have vectors apart only while counts are low.
+GROUPS = ((700, 64), (2800, 256), (11200, 1024), (None, 4096))
 #: Points under one leaf of a tree, and children under one node.
 FANOUT = 16
 #: Points of a block in one task; larger blocks are joined as pairs of parts.
@@ -22,7 +23,7 @@ BLOCK_POINTS = 2048
 #: Tokens of a cluster in one part when it is verified.
 PART_TOKENS = 1 << 20
 #: A count that is stored as this says "at least".
-MOST = np.iinfo(np.uint16).max
+MOST = np.iinfo(np.uint8).max
 
 
 def token_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -53,8 +54,19 @@ def prefix_length(n: int, similarity: int) -> int:
     return n - -(-similarity * n // 100) + 1
 
 
+def size_class(n: int) -> int:
+    return next(k for k, (most, _) in enumerate(GROUPS) if most is None or n <= most)
+
+
 def count_vector(tokens: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((tokens >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS), MOST).astype(np.uint16)
+    groups = GROUPS[size_class(len(tokens))][1]
+    counts = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % groups, minlength=groups)
+    return np.minimum(counts, MOST).astype(np.uint8)
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """A count vector with its groups joined to fewer."""
+    return np.minimum(point.reshape(-1, groups).sum(axis=0), MOST).astype(np.uint8)
 
 
 def overlap_bound(points: np.ndarray, point: np.ndarray) -> np.ndarray:
@@ -97,18 +109,31 @@ class CountTree:
         return children[children < n]
 
 
-def spanning(points: np.ndarray, sizes: np.ndarray, part: np.ndarray | None, similarity: int, linked=None) -> list[tuple[int, int]]:
-    """Links that connect all points the tree finds near each other (and ``linked`` confirms).
+def spanning(points: list[np.ndarray], sizes: np.ndarray, part: np.ndarray | None, similarity: int, linked=None) -> list[tuple[int, int]]:
+    """Links that connect all points the trees find near each other (and ``linked`` confirms).
 
-    Points already connected are not compared again. With ``part``, only pairs
-    of different parts count.
+    There is a tree for every size class. A point is compared with smaller
+    ones of its class, and of the class below in that class's groups. Points
+    already connected are not compared again. With ``part``, only pairs of
+    different parts count.
     """
     order = np.argsort(sizes, kind="stable")
-    points, sizes = points[order], sizes[order]
+    sizes = sizes[order]
     part = None if part is None else part[order]
-    tree, root, links = CountTree(points, sizes), np.arange(len(order)), []
+    classes = np.array([size_class(n) for n in sizes.tolist()])
+    first = np.searchsorted(classes, np.arange(len(GROUPS) + 1))
+    trees = [CountTree(np.stack([points[i] for i in order[a:b]]), sizes[a:b]) if b > a else None for a, b in zip(first, first[1:])]
+    root, links = np.arange(len(order)), []
     for x in range(len(order)):
-        at, bounds = tree.near(points[x], int(sizes[x]), similarity)
+        own, size, found = classes[x], int(sizes[x]), []
+        for k in (own, own - 1):
+            most = GROUPS[k][0] if k >= 0 else 0
+            if k < 0 or trees[k] is None or (k < own and similarity * size > 100 * most):
+                continue
+            point = points[order[x]]
+            at, bounds = trees[k].near(point if k == own else folded(point, GROUPS[k][1]), size, similarity)
+            found.append((at + first[k], bounds))
+        at, bounds = (np.concatenate(c) for c in zip(*found))
         keep = at < x if part is None else (at < x) & (part[at] != part[x])
         at, bounds = at[keep], bounds[keep]
         at = at[np.argsort(-bounds, kind="stable")]
@@ -178,8 +203,8 @@ def _links_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*links) if links else ((), ()))], LINK_NAMES)
 
 
-def _vectors(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, GROUPS)
+def _vectors(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint8) for x in column.to_pylist()]
 
 
 def _candidates(members: DataFrame, similarity: int) -> DataFrame:
@@ -214,7 +239,7 @@ def _verified(texts: DataFrame, size: int, similarity: int) -> DataFrame:
             tokens = dict(token_sets(group["cell"].combine_chunks(), size))
             sets = [tokens[i] for i in range(len(nodes))]
             sizes = np.array([len(s) for s in sets])
-            vectors = np.stack([count_vector(s) for s in sets])
+            vectors = [count_vector(s) for s in sets]
             part = group["part"].to_numpy() if group["tile_pair"][0].as_py() else None
 
             def linked(i: int, j: int) -> bool:
@@ -250,8 +275,8 @@ def similar_rows(sheet: DataFrame, row_id: str = "row_id", column: str = "value"
 
     How: rows with equal sets become one set. A set is posted under its prefix
     tokens, those first in hash order that two similar sets must share. In each
-    block of sets with a common token an R-tree over count vectors (tokens
-    hashed into ``GROUPS`` groups, counted) finds the sets whose summed
+    block of sets with a common token R-trees over count vectors (tokens
+    hashed into groups, more for larger sets, and counted) find the sets whose summed
     coordinate minima allow the similarity, also for whole subtrees. What it
     connects is a cluster, inside which surviving pairs are verified on the
     full sets. Blocks with the same members are joined once; sets already

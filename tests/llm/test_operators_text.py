@@ -129,19 +129,25 @@ def test_first_of_similar(sheet):
     assert first_of_similar(sheet([])).collect() == []
 
 
-def test_tree_bound_is_no_smaller_than_the_overlap():
+def test_trees_find_every_similar_pair(monkeypatch):
+    monkeypatch.setattr(overlap_module, "GROUPS", ((20, 8), (60, 32), (None, 128)))
     rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in rng.integers(1, 80, 60)]
-    sets += [np.union1d(s[: len(s) * 9 // 10], sets[0][:2]) for s in sets]
-    vectors, sizes = np.stack([overlap_module.count_vector(s) for s in sets]), np.array([len(s) for s in sets])
-    order = np.argsort(sizes, kind="stable")
-    tree = overlap_module.CountTree(vectors[order], sizes[order])
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in [*rng.integers(1, 80, 60), 19, 21, 22, 58, 62, 300]]
+    sets += [np.union1d(s[: len(s) * 9 // 10], sets[0][:2]) for s in sets] + [s[1:] for s in sets if len(s) > 6]
+    vectors, sizes = [overlap_module.count_vector(s) for s in sets], np.array([len(s) for s in sets])
+    compared = set()
+    overlap_module.spanning(vectors, sizes, None, 80, lambda i, j: compared.add(frozenset((i, j))))
     for i in range(len(sets)):
-        near = set(order[tree.near(vectors[i], int(sizes[i]), 80)[0]].tolist())
-        for j in range(len(sets)):
+        for j in range(i):
             both = len(np.intersect1d(sets[i], sets[j]))
             if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
-                assert j in near
+                assert frozenset((i, j)) in compared
+    assert len(compared) < len(sets) ** 2 / 4
+
+
+def test_full_counts_never_bound_too_low():
+    full, some = np.full(8, 255, np.uint8), np.full(8, 3, np.uint8)
+    assert overlap_module.overlap_bound(np.stack([full, some]), full).tolist() == [np.iinfo(np.int64).max, 24]
 
 
 def test_components(spark):
