@@ -100,6 +100,19 @@ def test_lines_in_parts(sheet, corpus, monkeypatch):
     assert {r.row_id: list(r.removed_lines) for r in repeated_lines(sheet(corpus)).collect()} == brute.removed_lines(list(enumerate(corpus)))
 
 
+def test_parity_never_rules_out_similar_lines():
+    rng = np.random.default_rng(2)
+    for n in (90, 101, 130, 399, 401, 900, 1700, 7000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for cut in (1, 2, n // 20, n // 9):
+            b = np.union1d(a[cut:], rng.integers(0, 1 << 63, cut).astype(np.uint64))
+            apart = len(np.setxor1d(a, b))
+            wa, wb = (line_module.wide_parity(x) if len(x) > line_module.LONG else None for x in (a, b))
+            assert line_module.wide_apart(wa, wb) <= apart
+    other = np.unique(rng.integers(0, 1 << 63, 1700).astype(np.uint64))
+    assert line_module.wide_apart(line_module.wide_parity(np.unique(rng.integers(0, 1 << 63, 1700).astype(np.uint64))), line_module.wide_parity(other)) > 1700 * 2 / 9
+
+
 def test_lines_of_repeated_and_missing_rows(sheet):
     line = "a line of some six words"
     rows = [(1, line), (1, line), (None, line + " more"), (2, line + "\n" + line)]
