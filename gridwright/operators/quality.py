@@ -220,6 +220,56 @@ def rule_items(df: DataFrame, mappings) -> list[Column]:
     return items
 
 
+# Titles by which a column is taken for the role of a rule.
+ROLE_TITLES = {
+    "product": {
+        "factor_a": ("数量", "个数", "件数", "份数", "qty", "quantity"),
+        "factor_b": ("单价", "价格", "unit_price", "unit price", "unit"),
+        "product": ("金额", "总价", "合计", "总额", "total", "sum", "小计", "总和"),
+    },
+    "date_order": {
+        "start": ("开始日期", "开始时间", "生效日期", "start_date", "start date", "start", "入职日期"),
+        "end": ("结束日期", "结束时间", "失效日期", "end_date", "end date", "end", "离职日期"),
+    },
+    "id_card_birth": {
+        "id_card": ("身份证", "身份证号", "身份证号码", "证件号", "证件号码", "idcard", "id_card", "identity"),
+        "birth": ("出生日期", "出生年月", "生日", "出生", "birth", "birthday"),
+    },
+}
+# How well a title that is a role's word, or holds or is part of one, fits; and what is enough.
+TITLE_EQUAL, TITLE_PART, TITLE_ENOUGH = 1.0, 0.7, 0.7
+
+
+def title_fit(title: str, words) -> float:
+    """How well a column title fits a role, spaces and case aside."""
+    bare = [w.replace(" ", "").lower() for w in (title, *words)]
+    own, known = "".join(bare[0].split()), bare[1:]
+    if own in known:
+        return TITLE_EQUAL
+    return TITLE_PART if own and any(w in own or own in w for w in known) else 0.0
+
+
+def match_rules(df: DataFrame, columns=None) -> list[tuple[str, dict[str, str]]]:
+    """``(rule, {role: column})`` for the rules all of whose roles a column's title fits.
+
+    Looks at the schema alone: the title in a field's metadata, else its name.
+    Roles are filled in order, each by its best column not taken yet.
+    """
+    titles = {f.name: str(f.metadata.get("title", f.name)) for f in df.schema.fields if columns is None or f.name in columns}
+    out = []
+    for rule, roles in ROLE_TITLES.items():
+        taken: dict[str, str] = {}
+        for role, words in roles.items():
+            fits = [(title_fit(t, words), -i, n) for i, (n, t) in enumerate(titles.items()) if n not in taken.values()]
+            best = max(fits, default=(0.0, 0, ""))
+            if best[0] < TITLE_ENOUGH:
+                break
+            taken[role] = best[2]
+        else:
+            out.append((rule, taken))
+    return out
+
+
 def run_rules(df: DataFrame, row_id: str, mappings) -> DataFrame:
     return row_findings(df, row_id, rule_items(df, mappings))
 
@@ -312,12 +362,14 @@ def outliers(df: DataFrame, row_id: str, columns) -> DataFrame:
     return row_findings(marked, row_id, outlier_items(df, columns))
 
 
-def quality_findings(df: DataFrame, row_id: str, types: dict[str, str] | None = None, rules=(), columns=None,
+def quality_findings(df: DataFrame, row_id: str, types: dict[str, str] | None = None, rules=None, columns=None,
                      key_columns=None, date_columns=None, numeric_columns=None, duplicates: bool = True) -> DataFrame:
     """Combined report: general rules, cell validity against types, and rules across columns.
 
     ``types`` maps columns to semantic types; when it is not given they are
     inferred, which runs one small job and collects one row per column.
+    ``rules`` are ``(rule, {role: column})`` pairs; when they are not given,
+    the rules run whose roles the column titles fit.
     """
     batch_only(df, "quality_findings")
     names = [n for n in (columns or df.columns) if n != row_id]
@@ -332,7 +384,7 @@ def quality_findings(df: DataFrame, row_id: str, types: dict[str, str] | None =
         source = df.withColumn("_facts", outlier_facts(df, numeric_columns).scalar())
         items += outlier_items(df, numeric_columns)
     items += type_items(df, {n: t for n, t in types.items() if t != "text"})
-    items += rule_items(df, rules)
+    items += rule_items(df, match_rules(df, names) if rules is None else rules)
     found = row_findings(source, row_id, items).unionByName(mixed_types(df, row_id, names))
     if date_columns:
         found = found.unionByName(date_formats(df, row_id, date_columns))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.cells import cell, col, isnull_blank, num
+from ..functions.cells import text, cell, col, isnull_blank, num
 from ..streaming.guard import batch_only
 from .predicates import Cond, combine
 
@@ -42,9 +42,18 @@ def set_where(df: DataFrame, column: str, new, where=None) -> DataFrame:
     return df.withColumn(column, F.when(_condition(df, where), fresh).otherwise(col(column)))
 
 
-def cast_numbers(df: DataFrame, column: str) -> DataFrame:
-    """Text column to numbers where every row can be read; unreadable cells become null."""
-    return df.withColumn(column, num(cell(df, column)))
+def cast_numbers(df: DataFrame, column: str, unreadable: str | None = None) -> DataFrame:
+    """Text column to numbers.
+
+    A column has one type, so a cell that is no number can not stay in it: it
+    becomes null, and with ``unreadable`` its text is kept in a column of that
+    name (null where the cell was read or blank).
+    """
+    read = num(cell(df, column))
+    if unreadable:
+        df = df.withColumn(unreadable, F.when(read.isNull() & ~isnull_blank(cell(df, column)), text(cell(df, column))))
+        read = num(cell(df, column))
+    return df.withColumn(column, read)
 
 
 def fill_blank(df: DataFrame, column: str, new) -> DataFrame:

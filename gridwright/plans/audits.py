@@ -214,3 +214,22 @@ def quality_combined_report(t):
         c, "c_custkey", {"joined": "date"}, [("id_card_birth", {"id_card": "card", "birth": "birth"})],
         columns=["joined", "points"], key_columns=["joined", "points"], date_columns=["joined"])
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("finding_count"))
+
+
+@query(f"""WITH o AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity, l_extendedprice, l_tax, l_shipdate FROM lineitem),
+  p AS (SELECT id, 'product' AS rule, '总金额' AS "column" FROM o WHERE id % 9 = 0 AND abs(l_quantity * l_extendedprice * 0.5) / greatest(abs(l_quantity * l_extendedprice), abs(l_quantity * l_extendedprice * 1.5), 1) > 0.01),
+  d AS (SELECT id, 'date_order', 'end date' FROM o WHERE id % 7 = 0),
+  b AS (SELECT id, 'id_card_birth', '生日' FROM o WHERE id % 5 = 0)
+  SELECT * FROM p UNION ALL SELECT * FROM d UNION ALL SELECT * FROM b""")
+def quality_rules_by_title(t):
+    """Each rule finds its columns by their titles: products, date order, birth dates."""
+    day, k = F.to_date("l_shipdate"), F.col("id")
+    rows = t.lineitem.withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    total = F.col("l_quantity") * F.col("l_extendedprice")
+    sheet = rows.select(
+        "id", F.col("l_quantity").alias("Qty"), F.col("l_extendedprice").alias("单价(元)"), F.when(k % 9 == 0, total * 1.5).otherwise(total).alias("总金额"),
+        day.alias("Start Date"), F.date_add(day, F.when(k % 7 == 0, -1).otherwise(1)).alias("end date"),
+        F.concat(F.lit("110101"), F.date_format(day, "yyyyMMdd"), F.lit("001X")).alias("身份证号"),
+        F.date_add(day, F.when(k % 5 == 0, 1).otherwise(0)).alias("生日"),
+    )
+    return Q.run_rules(sheet, "id", Q.match_rules(sheet)).select(F.col("row_id").alias("id"), "rule", "column")
