@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators.profiling import (
-    column_samples, column_stats, group_key_count, null_strategy, preflight, profile, profile_globals, profile_warnings,
+    column_samples, column_stats, distinct_estimates, group_key_count, null_strategy, preflight, profile, profile_globals, profile_warnings,
     table_sizes, table_stats, top_values, total_size,
 )
 from ..sources.files import type_facts
@@ -182,3 +182,23 @@ def preflight_formula(t):
   CASE WHEN null_rate > 0.5 THEN 0.6 WHEN null_rate < 0.05 THEN 0.85 ELSE 0.6 END::DOUBLE AS confidence FROM prof""")
 def null_strategies(t):
     return null_strategy(_contact_profile(t), "formula")
+
+
+@query("""WITH v AS (SELECT 'o_orderpriority' AS "column", o_orderpriority AS v, min(o_orderkey) AS f FROM orders GROUP BY 2
+            UNION ALL SELECT 'o_orderstatus', o_orderstatus, min(o_orderkey) FROM orders GROUP BY 2),
+          r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY f, v) AS n FROM v)
+          SELECT "column", string_agg(v, '|' ORDER BY n) AS samples FROM r WHERE n <= 5 GROUP BY 1""")
+def profile_samples(t):
+    """First five distinct values of each column, in row order."""
+    out = profile(t.orders.select("o_orderkey", "o_orderpriority", "o_orderstatus"), ["o_orderpriority", "o_orderstatus"], order="o_orderkey")
+    return out.select("column", F.array_join("sample_values", "|").alias("samples"))
+
+
+@query("""SELECT 'o_orderkey' AS "column", count(DISTINCT o_orderkey) AS unique_count, true AS near FROM orders
+          UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey), true FROM orders UNION ALL SELECT 'o_orderstatus', count(DISTINCT o_orderstatus), true FROM orders""")
+def distinct_estimates_near(t):
+    """Estimates are within a fifth of the exact counts of the whole table."""
+    names = ["o_orderkey", "o_custkey", "o_orderstatus"]
+    exact = profile(t.orders, names).select("column", "unique_count")
+    near = F.abs(F.col("unique_estimate") - F.col("unique_count")) <= F.col("unique_count") * 0.2
+    return distinct_estimates(t.orders, names).join(exact, "column").select("column", "unique_count", near.alias("near"))

@@ -101,6 +101,13 @@ def update_cast_numbers(t):
     return cast_numbers(dirty_orders(t).select("o_orderkey", "amount"), "amount")
 
 
+@query(f"""WITH {DIRTY_ORDERS} SELECT o_orderkey, try_cast(amount AS DOUBLE) AS amount,
+             CASE WHEN try_cast(amount AS DOUBLE) IS NULL THEN amount END AS amount_text FROM dirty_orders""")
+def update_cast_keeping_text(t):
+    """What is no number is not lost: its text stays beside it."""
+    return cast_numbers(dirty_orders(t).select("o_orderkey", "amount"), "amount", unreadable="amount_text")
+
+
 @query("SELECT count(*) FILTER (c_acctbal < 0) AS modified_rows FROM customer")
 def update_count(t):
     return modified_count(t.customer, cond("c_acctbal", "LT", 0))
