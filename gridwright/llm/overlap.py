@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import connected
 from .frames import bounded, cells, stored
-from .hashing import FOLDED_VALUES, NOT_SPACE, Spans, chunks, mix, rolled, segment_of, word_bounds
+from .hashing import FOLDED_VALUES, NOT_SPACE, Spans, chunks, mix, rolled, word_bounds
 from .packing import _arrow_type
 
 #: Groups that tokens are hashed into, the dimensions of a count vector, for sets of
