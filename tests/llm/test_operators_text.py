@@ -1,7 +1,6 @@
 """Each operator against its plain version, on texts with nulls, ties, repeats and clashing columns."""
 
 import random
-import re
 import zlib
 
 import numpy as np
