@@ -40,11 +40,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether a stored table stays under the broadcast bound."""
-    return df.count() * row_bytes <= limit
+def bounded(df: DataFrame, row_bytes: int | Column) -> DataFrame:
+    """A stored table with a broadcast hint if its measured size allows one, else as it is (a shuffled join).
 
-
-def bounded(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df`` with a broadcast hint if its measured size allows one, else as it is (a shuffled join)."""
-    return F.broadcast(df) if small_enough(df, row_bytes) else df
+    ``row_bytes`` bounds a row; as a column it says what each row takes.
+    """
+    each = row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)
+    size = df.agg(F.coalesce(F.sum(each.cast("bigint")), F.lit(0)).alias("n")).first().n
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df

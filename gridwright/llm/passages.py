@@ -127,7 +127,7 @@ def lookup_passages(
     spans = spans.join(ids, _same(spans, ids), "left").select(spans.row_id, spans.cell_key, "hit_spans", "lookup_ids")
     counted = cells(sheet, row_id, column, carry).withColumn("cell_key", F.xxhash64("cell"))
     counted = counted.withColumn("n_words", F.size(words_of(F.col("cell"))).cast("bigint")).drop("cell")
-    spans = bounded(stored(spans, "passage-spans"), 1024)
+    spans = bounded(stored(spans, "passage-spans"), 128 + 24 * F.size("hit_spans") + 40 * F.coalesce(F.size("lookup_ids"), F.lit(0)))
     out = counted.join(spans, _same(counted, spans), "left")
     length = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return out.select(

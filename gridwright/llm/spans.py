@@ -76,30 +76,38 @@ def _first_groups(keyed: DataFrame, length: int) -> DataFrame:
     return keyed.select("cell", "cell_key").mapInArrow(group, NODE)
 
 
-def _finer_groups(keyed: DataFrame, carried: DataFrame, length: int, width: int) -> DataFrame:
-    """The parts, ``width`` starts wide by distance to the anchor, of the carried groups."""
-    groups = carried.groupBy("cell_key").agg(F.collect_list(F.struct("anchor", "low", "high")).alias("groups"))
-    groups = bounded(stored(groups, "carried"), 2048)
+def _carried_lists(carried: DataFrame, length: int) -> DataFrame:
+    """The groups of each text, one number a group: anchor, and distances from it to the first and last start."""
+    step = F.lit(1 << (length // 2).bit_length())
+    packed = (F.col("anchor") * step + F.col("anchor") - F.col("low")) * step + F.col("anchor") - F.col("high")
+    return stored(carried.groupBy("cell_key").agg(F.collect_list(packed).alias("groups")), "carried")
+
+
+def _finer_groups(texts: DataFrame, length: int, width: int) -> DataFrame:
+    """The parts, ``width`` starts wide by distance to the anchor, of the groups listed with each text."""
+    bits = (length // 2).bit_length()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, lists = batch.column(1).to_numpy(), batch.column(2)
             for chunk in chunks(batch.column(0)):
                 own = lists.slice(chunk.first, chunk.last - chunk.first)
-                fields = own.flatten()
-                anchor, low, high = (fields.field(i).to_numpy() for i in range(3))
+                packed = own.flatten().to_numpy()
+                anchor, part = packed >> (2 * bits), (1 << bits) - 1
+                to_low, to_high = packed >> bits & part, packed & part
                 cell = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy())
-                near, far = (anchor - high) // width, (anchor - low) // width
-                again = np.repeat(np.arange(len(anchor)), far - near + 1)
+                near, far = to_high // width, to_low // width
                 counts = far - near + 1
+                again = np.repeat(np.arange(len(anchor)), counts)
                 nearest = (near[again] + np.arange(len(again)) - np.repeat(np.cumsum(counts) - counts, counts)) * width
                 base = chunk.offsets[cell[again]]
-                anchor, low, high = anchor[again] + base, low[again] + base, high[again] + base
-                low, high = np.maximum(low, anchor - nearest - width + 1), np.minimum(high, anchor - nearest)
-                core_to = anchor - nearest - width + 1 + length
-                yield node_batch(Spans(chunk.data), base, keys[chunk.first + cell[again]], anchor, low, high, anchor - nearest, core_to, length)
+                at = anchor[again] + base
+                low = np.maximum(at - to_low[again], at - nearest - width + 1)
+                high = np.minimum(at - to_high[again], at - nearest)
+                core_to = at - nearest - width + 1 + length
+                yield node_batch(Spans(chunk.data), base, keys[chunk.first + cell[again]], at, low, high, at - nearest, core_to, length)
 
-    return keyed.join(groups, "cell_key").select("cell", "cell_key", "groups").mapInArrow(split, NODE)
+    return texts.select("cell", "cell_key", "groups").mapInArrow(split, NODE)
 
 
 def _several(nodes: DataFrame, bucket: str, name: str) -> DataFrame:
@@ -149,19 +157,24 @@ def repeated_spans(sheet: DataFrame, row_id: str = "row_id", column: str = "valu
 
     Buckets are identified by 64-bit hashes and combined before each shuffle to
     the least and greatest place; no bucket is ever gathered. What goes back
-    to the texts are groups still open, broadcast only while small.
+    to the texts are groups still open, broadcast only while small; else the
+    texts that have some are taken out once and joined in each round.
     """
     source = cells(sheet, row_id, column)
     keyed = source.select(F.coalesce("cell", F.lit("")).alias("cell"), F.xxhash64(F.coalesce("cell", F.lit(""))).alias("cell_key"))
-    nodes = _first_groups(keyed, length)
-    spans = None
+    nodes, texts = _first_groups(keyed, length), keyed
+    whole, carried = _refine(nodes, _several(nodes, "core", "cores"))
+    spans = whole
     # A part of more starts than half a string would have no bytes in common.
-    for width in (None, *(w for w in WIDTHS if w <= max(1, length // 2))):
-        if width:
-            nodes = stored(_finer_groups(keyed, carried, length, width).distinct(), "finer-groups")
-        cores = _several(nodes, "core", "cores")
-        whole, carried = _refine(nodes, cores)
-        spans = whole if spans is None else spans.unionByName(whole)
+    for width in (w for w in WIDTHS if w <= max(1, length // 2)):
+        lists = _carried_lists(carried, length)
+        joined = bounded(lists, 48 + 8 * F.size("groups"))
+        if joined is lists and texts is keyed:
+            # Too many to broadcast: the texts concerned are taken out once, not in every round.
+            texts = stored(keyed.join(lists.select("cell_key"), "cell_key", "left_semi"), "open-texts")
+        nodes = stored(_finer_groups(texts.join(joined, "cell_key"), length, width).distinct(), "finer-groups")
+        whole, carried = _refine(nodes, _several(nodes, "core", "cores"))
+        spans = spans.unionByName(whole)
 
     by_start = Window.partitionBy("cell_key").orderBy("low", "end")
     ends = spans.select("cell_key", "low", (F.col("high") + length).alias("end")).distinct()
@@ -169,7 +182,7 @@ def repeated_spans(sheet: DataFrame, row_id: str = "row_id", column: str = "valu
     runs = ends.withColumn("run", F.count_if(F.coalesce(F.col("low") > F.col("reach"), F.lit(True))).over(by_start))
     runs = runs.groupBy("cell_key", "run").agg(F.min("low").alias("start"), F.max("end").alias("end"))
     runs = runs.groupBy("cell_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    runs = bounded(stored(runs, "runs"), 256)
+    runs = bounded(stored(runs, "runs"), 64 + 32 * F.size("spans"))
 
     size = F.octet_length("cell")
     digest = F.unhex(F.md5(F.col("cell").cast("binary")))

@@ -78,6 +78,14 @@ def test_spans(sheet, corpus, length):
         assert all(a.end < b.start for a, b in zip(got[i].spans, got[i].spans[1:]))
 
 
+def test_spans_without_broadcast(sheet, corpus, monkeypatch):
+    from gridwright.llm import frames
+
+    monkeypatch.setattr(frames, "BROADCAST_BYTES", 0)
+    got = {r.row_id: bytes(r.kept) for r in repeated_spans(sheet(corpus), length=64).collect()}
+    assert got == {i: kept for i, (_, kept) in enumerate(brute.removed_bytes([(t or "").encode() for t in corpus], 64))}
+
+
 def test_spans_of_an_empty_sheet(sheet):
     assert repeated_spans(sheet([])).collect() == []
 
