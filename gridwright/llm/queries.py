@@ -152,7 +152,7 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    rows = lines.repeated_lines(table(spark, folder, "documents"), row_id="doc_id", column="text", similarity=80)
+    rows = lines.repeated_lines(table(spark, folder, "documents"), row_id="doc_id", column="text", similarity=80, least_tokens=1)
     return rows.select(
         F.col("row_id").alias("doc_id"), "n_lines", F.size("removed_lines").cast("bigint").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 

@@ -107,6 +107,23 @@ def test_lines_in_parts(sheet, corpus, monkeypatch):
     assert {r.row_id: list(r.removed_lines) for r in repeated_lines(sheet(corpus)).collect()} == brute.removed_lines(list(enumerate(corpus)))
 
 
+def test_lines_of_any_length(sheet, corpus):
+    short = ["Menu\nHome page\nA title", "menu\nHOME  page\na b c d", "a b c d e\ntitle a\n" + "word " * 40, "word\n\na b c e\nb c d a\na b c"]
+    texts = corpus + short
+    want = brute.removed_lines(list(enumerate(texts)), least=1)
+    got = {r.row_id: list(r.removed_lines) for r in repeated_lines(sheet(texts), least_tokens=1).collect()}
+    assert got == want
+    assert [want[len(corpus) + i] for i in (1, 2, 3)] == [[0, 1], [0, 1], [0, 2, 3]]
+
+
+@pytest.mark.parametrize("similarity", [50, 75, 100])
+def test_short_lines_at_other_similarities(sheet, similarity):
+    rng = random.Random(similarity)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    got = {r.row_id: list(r.removed_lines) for r in repeated_lines(sheet(texts), similarity=similarity, least_tokens=1).collect()}
+    assert got == brute.removed_lines(list(enumerate(texts)), similarity, 1)
+
+
 def test_parity_never_rules_out_similar_lines():
     rng = np.random.default_rng(2)
     for n in (90, 101, 130, 399, 401, 900, 1700, 7000):

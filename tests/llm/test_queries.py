@@ -92,6 +92,15 @@ def test_pipeline_stage_by_stage(spark, folder):
     assert {p.doc_id: p.doc_tokens for p in whole} == {p.doc_id: p.doc_tokens for p in pieces}
 
 
+def test_short_lines_are_deduplicated(spark, tmp_path):
+    rows = [(1, "Home\nfirst text"), (2, "Home\nAbout us"), (3, "about us\nhome\nlast text")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "length(text) AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: (2, 0), 2: (2, 1), 3: (3, 2)}
+    docs = corpus_pipeline.line_stage(spark, table(spark, str(tmp_path), "documents"), str(tmp_path))
+    assert {r.doc_id: r.text for r in docs.collect()} == {1: rows[0][1], 2: "About us", 3: "last text"}
+
+
 def test_stages_on_empty_documents(spark, folder):
     docs = table(spark, folder, "documents").limit(0)
     for name, stage in corpus_pipeline.STAGES:
