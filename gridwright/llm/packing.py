@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .frames import cells
-from .tokenizers import byte_pair_encoding
+from .tokenizers import byte_pair_encoder
 
 #: Longest piece that is left to be combined with others.
 LONGEST_PIECE = 128
@@ -64,12 +64,14 @@ SCHEMA = "row_id {}, start bigint, length bigint, ids binary, cell_tokens bigint
 
 def pack_cells(
     sheet: DataFrame, tokenizer: str, pattern: str, row_id: str = "row_id", column: str = "value",
-    capacity: int = 1024, end_id: int = 0,
+    capacity: int = 1024, end_id: int = 0, added_tokens: bool = False,
 ) -> DataFrame:
     """Cut the cells of a text column into pieces and lay them into windows of ``capacity`` tokens.
 
     Every row of the sheet gives the token ids of its cell followed by
-    ``end_id``; null and empty cells give ``end_id`` alone. Whole windows are
+    ``end_id``; null and empty cells give ``end_id`` alone. With
+    ``added_tokens`` a cell's strings of the tokenizer's added tokens count as
+    these tokens, else as ordinary text. Whole windows are
     cut off from the front of a cell; the rest, in pieces of at most
     ``LONGEST_PIECE`` tokens, is balanced over ``WAYS`` windows at a time by
     Karmarkar-Karp differencing. Each id lies in exactly one piece.
@@ -89,7 +91,7 @@ def pack_cells(
     key_type = pa.field("row_id", _arrow_type(source)).type
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_pair_encoding(tokenizer, pattern).encode_ordinary
+        encode = byte_pair_encoder(tokenizer, pattern, added_tokens)
         number = TaskContext.get().partitionId() << 40
         open_pieces: list[tuple] = []
         open_tokens = 0

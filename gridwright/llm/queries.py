@@ -71,7 +71,7 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def packed(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    pieces = packing.pack_cells(docs, public_tokenizers.path(TOKENIZER_FILE), public_tokenizers.PATTERN, row_id="doc_id", column="text")
+    pieces = packing.pack_cells(docs, public_tokenizers.path(TOKENIZER_FILE), public_tokenizers.PATTERN, row_id="doc_id", column="text", added_tokens=True)
     return pieces.select(
         F.col("row_id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"),
         F.col("cell_tokens").alias("doc_tokens"), F.col("window_id").alias("sequence_id"), "offset",

@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import tiktoken
+import tokenizers
+
+
+#: Texts of more characters go through ``tokenizers``: the other library's pattern runs out of stack on a million spaces in a row.
+LONG_TEXT = 1 << 17
 
 
 def byte_letters() -> dict[str, int]:
@@ -18,17 +24,31 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def byte_pair_encoding(path: str, pattern: str) -> tiktoken.Encoding:
-    """The encoder of a byte-level ``tokenizer.json``.
+def byte_pair_encoder(path: str, pattern: str, added_tokens: bool = False) -> Callable[[str], list[int]]:
+    """A function from a text to its ids by a byte-level ``tokenizer.json``.
 
-    In these files a token's id is its merge rank, so the vocabulary alone
-    gives the ranks; special tokens are left out, their strings are ordinary
-    text. The ids equal those of the ``tokenizers`` library (see the tests) at
-    about a fifth of its time.
+    The ids are those of ``tokenizers`` with ``add_special_tokens=False``. With
+    ``added_tokens`` the strings of added tokens in a text get their own ids,
+    as that library does by default; without, they are ordinary text
+    (``encode_special_tokens``). In these files a token's id is its merge rank,
+    so the vocabulary alone gives the ranks, and ``tiktoken`` finds the same
+    ids in a quarter of the time; very long texts and those that hold an added
+    token go through ``tokenizers`` itself.
     """
     with open(path, encoding="utf-8") as file:
         content = json.load(file)
-    special = {t["id"] for t in content.get("added_tokens", [])}
+    added = content.get("added_tokens", [])
+    special = {t["id"] for t in added}
+    strings = [t["content"] for t in added] if added_tokens else []
     letters = byte_letters()
     ranks = {bytes(letters[c] for c in word): i for word, i in content["model"]["vocab"].items() if i not in special}
-    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    whole = tokenizers.Tokenizer.from_file(path)
+    whole.encode_special_tokens = not added_tokens
+
+    def encode(text: str) -> list[int]:
+        if len(text) > LONG_TEXT or any(x in text for x in strings):
+            return whole.encode(text, add_special_tokens=False).ids
+        return fast.encode_ordinary(text)
+
+    return encode

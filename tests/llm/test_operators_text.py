@@ -253,6 +253,24 @@ def test_packing_round_trip(sheet, corpus):
     assert pack_cells(sheet([]), path, public_tokenizers.PATTERN).collect() == []
 
 
+def test_ids_of_added_tokens_and_very_long_runs(spark, tmp_path):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    from gridwright.llm.queries import op5_packing
+
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>\n", "x" + " " * 1_200_000 + "y", "a" * 130_000 + " \n" * 70_000, " " * 131_000 + "z", "plain 1"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = tokenizers.Tokenizer.from_file(path)
+    want = {i: np.array([*other.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in enumerate(texts)}
+    assert want[0].tolist() == [64, 220, 50256, 275, 0]
+    pieces = op5_packing(spark, str(tmp_path)).collect()
+    for p in pieces:
+        assert p.doc_tokens == len(want[p.doc_id])
+        assert p.ids_crc32 == zlib.crc32(want[p.doc_id][p.start:p.start + p.length].tobytes())
+    assert {i: sum(p.length for p in pieces if p.doc_id == i) for i in want} == {i: len(x) for i, x in want.items()}
+
+
 def test_packing_leaves_little_padding(sheet):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     texts = [prose(i, 50 + 37 * (i % 40)) for i in range(400)]
