@@ -2,49 +2,70 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import cells, named
+from .frames import bounded, cells, named, stored
 
 #: White space; a class of single characters, which Java tests as a bit map.
 SPACE_CLASS = r"[\x20\x09\x0A\x0B\x0C\x0D]+"
 NOT_SPACE = r"[^\x20\x09\x0A\x0B\x0C\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
-#: Hashed n-grams: the table of log ratios has this many entries, whatever the sheet's size.
-BUCKETS = 1 << 14
+#: Occurrences, at the share all n-grams have in trusted rows, that are added to every n-gram. One that occurs once
+#: and in no trusted row so counts -0.06, and a text of nothing else is not kept.
+BACK_OFF = 16
+#: Log ratios are kept as whole multiples of 1 / SCALE, so that sums do not depend on their order.
+SCALE = 1_000_000
+#: N-grams of more than one in so many occurrences are hot; there are fewer hot ones than this.
+HOT = 1 << 17
 #: Mean log ratio per n-gram from which a row is kept.
 THRESHOLD = -0.05
 
 
-def _bucket(*words: Column) -> Column:
-    return F.pmod(F.xxhash64(*words), F.lit(BUCKETS)).cast("int")
-
-
 def words_of(text: Column) -> Column:
     """Runs of what is no white space."""
     return F.array_remove(F.split(text, SPACE_CLASS), "")
 
 
-def log_ratios(sheet: DataFrame, column: str, trusted: str) -> list[float]:
-    """For every bucket, the log of its share in trusted rows over that in all rows.
+def _grams(rows: DataFrame, *keep: str) -> DataFrame:
+    """Hashes of all words and word pairs of ``cell``, one row each, with the columns to keep."""
+    words = rows.select(*keep, words_of(F.col("cell")).alias("words"))
+    n = F.greatest(F.size("words") - 1, F.lit(0))
+    singles = F.transform("words", lambda w: F.xxhash64(w))
+    pairs = F.zip_with(F.slice("words", 1, n), F.slice("words", 2, n), lambda a, b: F.xxhash64(a, b))
+    # The outer form adds no filter that would hash everything twice.
+    return words.select(*keep, F.explode_outer(F.concat(singles, pairs)).alias("gram")).filter("gram is not null")
+
+
+def gram_ratios(rows: DataFrame) -> DataFrame:
+    """``gram``, ``ratio`` and ``hot`` of every n-gram of the rows (``cell`` and ``trusted``).
+
+    ``ratio`` is the log of its share in trusted rows over that in all rows,
+    times ``SCALE``, both backed off to the share of all n-grams. It is 0 for
+    all if trusted rows have no words.
+    """
+    counts = _grams(rows, "trusted").groupBy("gram").agg(F.count(F.lit(1)).alias("raw"), F.count_if("trusted").alias("good"))
+    counts = stored(counts, "gram-counts")
+    total = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")).first()
+    more = F.col("good") * (total.raw / total.good) if total.good else F.col("raw").cast("double")
+    ratio = F.round(F.log((more + BACK_OFF) / (F.col("raw") + BACK_OFF)) * SCALE).cast("bigint")
+    return counts.select("gram", ratio.alias("ratio"), (F.col("raw") * F.lit(HOT) > F.lit(total.raw)).alias("hot"))
+
+
+def scores(rows: DataFrame, ratios: DataFrame) -> DataFrame:
+    """``cell_key`` and the mean log ratio of the n-grams of all cells with that key.
 
-    Both multinomials count every word and word pair of all rows and have one
-    added to every bucket. The driver gets one row of sums per bucket.
+    Ratios of hot n-grams, or all if measured to be few, come to the rows;
+    the other n-grams are shuffled to their ratios.
     """
-    rows = sheet.select(F.coalesce(named(trusted).cast("boolean"), F.lit(False)).alias("t"), words_of(F.coalesce(named(column).cast("string"), F.lit(""))).alias("words"))
-    at = rows.select("t", "words", F.posexplode_outer("words").alias("i", "w"))
-    after = F.get("words", F.col("i") + 1)
-    pair = F.when(F.col("w").isNotNull(), F.array(_bucket(F.col("w")), F.when(after.isNotNull(), _bucket(F.col("w"), after))))
-    grams = at.select("t", F.explode_outer(pair).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("t").alias("good"))
-    raw, good = [1.0] * BUCKETS, [1.0] * BUCKETS
-    for row in counts.filter("bucket is not null").collect():
-        raw[row.bucket] += row.raw
-        good[row.bucket] += row.good
-    level = math.log(sum(raw) / sum(good))
-    return [math.log(g / r) + level for g, r in zip(good, raw)]
+    grams = _grams(rows, "cell_key")
+    few = bounded(ratios, 24)
+    if few is not ratios:
+        found = grams.join(few, "gram")
+    else:
+        hot = F.broadcast(ratios.filter("hot"))
+        cold = grams.join(hot.select("gram"), "gram", "left_anti").join(ratios.filter("not hot"), "gram")
+        found = grams.join(hot, "gram").unionByName(cold)
+    return found.groupBy("cell_key").agg((F.sum("ratio") / F.count(F.lit(1)) / SCALE).alias("score"))
 
 
 def quality_rules(sheet: DataFrame, trusted: str, row_id: str = "row_id", column: str = "value", threshold: float = THRESHOLD, least_words: int = 50, carry: bool = False) -> DataFrame:
@@ -58,31 +79,30 @@ def quality_rules(sheet: DataFrame, trusted: str, row_id: str = "row_id", column
     ``least_words`` words, or more than half of them repeated), ``score`` and
     ``kept``.
 
-    ``score`` is the log-likelihood ratio of the cell's hashed words and word
-    pairs between the multinomial of the trusted rows and that of all rows,
-    divided by their number; a row is kept if it did not fail the base rules
-    and its score is at least ``threshold``. Every row is decided by the same
-    rule, none by a draw. Null and empty cells have no words and a score of 0,
-    and fail. Repeated rows are decided alike. If no row is trusted, both
-    multinomials differ only by what all rows have in excess of the mean. With
-    ``carry`` the input row comes along as ``row``.
-
-    All statistics cover all rows. The only shuffle carries at most
-    ``BUCKETS`` sums per task; rows themselves never move, and the ``BUCKETS``
-    log ratios go through the driver.
+    ``score`` is the log-likelihood ratio of the cell's words and word pairs
+    between the multinomial of the trusted rows and that of all rows, divided
+    by their number; a row is kept if it did not fail the base rules and its
+    score is at least ``threshold``. Every row is decided by the same rule,
+    none by a draw. Null and empty cells have no words and a score of 0, and
+    fail. Repeated rows are decided alike. If no row is trusted, all scores
+    are 0. With ``carry`` the input row comes along as ``row``.
+
+    All statistics cover all rows, and every n-gram (by its 64-bit hash) has
+    its own counts, so the table grows with the sheet. The driver gets their
+    two totals and the measured size of the table; ratios and n-grams meet in
+    a join.
     """
-    source = cells(sheet, row_id, column, carry).withColumn("cell", F.coalesce("cell", F.lit("")))
+    source = cells(sheet, row_id, column, carry).withColumn("cell", F.coalesce("cell", F.lit(""))).withColumn("cell_key", F.xxhash64("cell"))
     row = ["row"] if carry else []
     rows = source.withColumn("words", words_of(F.col("cell")))
     n = F.size("words")
     window = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(
         F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i")))
     lines = F.filter(F.split("cell", "\n"), lambda line: line.rlike(NOT_SPACE))
-    # BUCKETS numbers; as a constant they are evaluated in place, without a join.
-    table = ",".join(f"{x:.5f}" for x in log_ratios(sheet, column, trusted))
-    ratios = F.split(F.lit(table), ",").cast("array<double>")
+    marked = sheet.select(F.coalesce(named(column).cast("string"), F.lit("")).alias("cell"), F.coalesce(named(trusted).cast("boolean"), F.lit(False)).alias("trusted"))
+    found = bounded(stored(scores(source.select("cell", "cell_key"), gram_ratios(marked)), "scores"), 32)
     rows = rows.select(
-        *row, "row_id", "words", n.cast("bigint").alias("n_words"), F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
+        *row, "row_id", "cell_key", n.cast("bigint").alias("n_words"), F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
         F.regexp_count("cell", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"), lines.alias("lines"),
         F.when(n >= 3, F.sort_array(window)).alias("windows"),
     )
@@ -90,18 +110,15 @@ def quality_rules(sheet: DataFrame, trusted: str, row_id: str = "row_id", column
     twice = F.filter("windows", lambda x, k: F.coalesce(same(x, k + 1), F.lit(False)) | F.coalesce(same(x, k - 1), F.lit(False)))
     starts = F.sort_array(F.transform(twice, lambda x: x["i"]))
     rows = rows.select(
-        *row, "row_id", "words", "n_words", "word_chars", "n_symbols",
+        *row, "row_id", "cell_key", "n_words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"), starts.alias("starts"),
     )
     step = lambda s, k: F.least(F.lit(3), F.coalesce(F.get("starts", k + 1) - s, F.lit(3)))
     covered = F.aggregate(F.transform("starts", step), F.lit(0), lambda a, x: a + x)
-    ratio = lambda *w: F.get(ratios, _bucket(*w))
-    pair = lambda i: F.coalesce(F.when(i + 1 < n, ratio(F.get("words", i), F.get("words", i + 1))), F.lit(0.0))
-    summed = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda a, i: a + ratio(F.get("words", i)) + pair(i))
     rows = rows.select(
-        *row, "row_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"),
-        F.when(n > 0, summed / (2 * n - 1)).otherwise(0.0).alias("score"),
+        *row, "row_id", "cell_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"),
     )
+    rows = rows.join(found, "cell_key", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
     # As a generator's output the verdict can not be pushed down with its whole

@@ -1,5 +1,6 @@
 """Each operator against its plain version, on texts with nulls, ties, repeats and clashing columns."""
 
+import collections
 import random
 import zlib
 
@@ -218,6 +219,29 @@ def test_quality_counts_and_verdict(sheet, corpus):
     assert empty.collect() == []
 
 
+def test_quality_ratios_are_those_of_the_words(sheet, monkeypatch):
+    """Scores by exact counts: no word shares its counts with another, however many there are."""
+    from gridwright.llm import frames, quality
+
+    # Over 40,000 distinct words and pairs; trusted rows are 0 to 99.
+    texts = [" ".join(f"{'ok' if i < 100 or i > 180 else 'no'}{(7 * i + j) % 900 if j % 2 else 1000 * i + j}" for j in range(150)) for i in range(200)] + [None, "one"]
+    counts, good = collections.Counter(), collections.Counter()
+    grams = [[*w, *zip(w, w[1:])] for w in ((t or "").split() for t in texts)]
+    for i, g in enumerate(grams):
+        counts.update(g)
+        good.update(g if i < 100 else ())
+    share = good.total() / counts.total()
+    want = [np.mean([np.log((good[x] / share + 16) / (counts[x] + 16)) for x in g]) if g else 0 for g in grams]
+    marked = sheet(texts, clash=True).withColumn("trusted", F.col("row_id") < 100)
+    for limit in (32 << 20, 0):
+        monkeypatch.setattr(frames, "BROADCAST_BYTES", limit)
+        monkeypatch.setattr(quality, "HOT", 1 << 12)
+        got = {r.row_id: r for r in quality_rules(marked, "trusted").collect()}
+        assert len(counts) > 2 * (1 << 14) and len(got) == len(texts)
+        assert np.allclose([got[i].score for i in range(len(texts))], want, atol=1e-5)
+    assert {r.score for r in quality_rules(marked.withColumn("trusted", F.lit(None)), "trusted").collect()} == {0.0}
+
+
 def test_differencing_is_near_even():
     rng = random.Random(0)
     sizes = [rng.randrange(1, 129) for _ in range(500)]
