@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.cells import col
 from .files import name_columns
@@ -120,23 +120,30 @@ def sheet_list(cells: DataFrame) -> DataFrame:
 
 
 def sheet_table(cells: DataFrame, sheet: str) -> DataFrame:
-    """One sheet, of all files with the same header, as a table of text cells.
+    """One sheet, of all files, as a table of text cells.
 
-    The first row is the header. Rows carry ``_file`` and ``_row``.
+    The first row of a file is its header. Columns of different files are one
+    column if they have the same title (the n-th of that title, if a file
+    repeats it) or, without a title, the same place; no column is left out.
+    They stand in the order of the first file that has them. Rows carry
+    ``_file`` and ``_row``.
     """
     mine = cells.filter(col("sheet") == sheet)
-    first_file = mine.agg(F.min("file")).scalar()
-    header = {r["col"]: r["value"] for r in mine.filter((F.col("row") == 0) & (F.col("file") == first_file)).collect()}
-    if not header:
+    titles = mine.groupBy("file", "col").agg(F.max(F.when(F.col("row") == 0, F.nullif("value", F.lit("")))).alias("title"))
+    nth = F.row_number().over(Window.partitionBy("file", "title").orderBy("col"))
+    untitled = F.col("title").isNull()
+    key = F.when(untitled, F.concat(F.lit("#"), "col")).otherwise(F.concat(nth, F.lit(":"), "title"))
+    places = titles.select("file", "col", "title", key.alias("key"))
+    found = places.groupBy("key").agg(F.first("title").alias("title"), F.min(F.struct("file", "col")).alias("at")).orderBy("at").collect()
+    if not found:
         raise ValueError(f"no sheet named {sheet!r}")
-    width = max(header) + 1
-    wide = mine.filter("row > 0").groupBy("file", "row").pivot("col", list(range(width))).agg(F.first("value"))
-    named = name_columns(wide.select(*[col(str(i)) for i in range(width)]), [header.get(i) for i in range(width)])
-    titles = named.schema.fields
-    return wide.select(
-        F.col("file").alias("_file"), F.col("row").alias("_row"),
-        *[col(str(i)).alias(f.name, metadata=f.metadata) for i, f in enumerate(titles)],
-    )
+    keys = [r["key"] for r in found]
+    # Columns without a title are numbered by their place in their own files.
+    headers = [r["title"] or f"列{r['at']['col'] + 1}" for r in found]
+    wide = mine.filter("row > 0").join(places.select("file", "col", "key"), ["file", "col"])
+    wide = wide.groupBy("file", "row").pivot("key", keys).agg(F.first("value")).toDF("_file", "_row", *map(str, range(len(keys))))
+    named = name_columns(wide.drop("_file", "_row"), headers)
+    return wide.select("_file", "_row", *[col(str(i)).alias(f.name, metadata=f.metadata) for i, f in enumerate(named.schema.fields)])
 
 
 def read_workbooks(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -79,6 +79,15 @@ def test_workbooks(spark, tmp_path):
     assert got == {("张三", "100"), ("李四", None), ("王五", "300")}
 
 
+def test_workbooks_with_other_columns(spark, tmp_path):
+    workbook(tmp_path / "a.xlsx", {"s": [["name", "pay"], ["x", 1]]})
+    workbook(tmp_path / "b.xlsx", {"s": [["pay", "name", "unit", None, "name"], [2, "y", "kg", "!loose", "z"], [None, "w"]]})
+    table = read_workbooks(spark, str(tmp_path))["s"]
+    assert [title_of(f) for f in table.schema.fields][2:] == ["name", "pay", "unit", "列4", "name"]
+    got = sorted(tuple(r)[1:] for r in table.collect())
+    assert got == [(1, "x", "1", None, None, None), (1, "y", "2", "kg", "loose", "z"), (2, "w", None, None, None, None)]
+
+
 def test_row_local_steps_on_a_stream(spark, tmp_path):
     batch = spark.range(50).select("id", F.when(F.col("id") % 5 == 0, " ").otherwise(F.col("id").cast("string")).alias("n"))
     batch.write.parquet(str(tmp_path / "in"))
