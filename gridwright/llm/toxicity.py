@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import cells, named
+from .frames import cells, named, stored
 from .hashing import ALPHANUMERIC, FOLDED_VALUES, Spans, chunks, mix, segment_of, word_bounds
 from .packing import _arrow_type
 
@@ -105,7 +105,9 @@ def fit(
         kept = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array(w[kept], pa.float64())], ["bucket", "weight"])
 
-    found = rows.select("row_id", "cell", "label").coalesce(1).mapInArrow(train, "bucket int, weight double").toArrow()
+    # The scan and join stay parallel; only the chosen rows go to the one task.
+    rows = stored(rows.select("row_id", "cell", "label"), "fit-rows")
+    found = rows.coalesce(1).mapInArrow(train, "bucket int, weight double").toArrow()
     return found.column(0).to_numpy(), found.column(1).to_numpy()
 
 

@@ -344,6 +344,16 @@ def test_toxicity_on_held_out_rows(sheet, spark):
     assert toxicity_scores(sheet([]), weights).collect() == []
 
 
+def test_fit_reads_the_sheet_in_parallel(sheet, spark, monkeypatch):
+    import gridwright.llm.toxicity as toxicity
+
+    parts, real = [], toxicity.stored
+    monkeypatch.setattr(toxicity, "stored", lambda df, name: parts.append((name, df.rdd.getNumPartitions())) or real(df, name))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "row_id bigint, label int")
+    toxicity.fit(sheet([f"text {i}" for i in range(40)]).repartition(4), labels)
+    assert parts == [("fit-rows", 4)]
+
+
 def test_archives_round_trip(sheet, spark, tmp_path):
     rows = [(i, f"http://a.example/{i} ü", "<p>" + prose(i % 7, 50) + "</p>") for i in range(40)]
     rows += [(50, None, None), (51, "x", ""), (None, "x", rows[0][2]), (60, "y", "P*M\x18\0\0\0\0 ü 🎉")]
