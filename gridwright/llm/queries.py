@@ -196,15 +196,17 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
         F.size(quality.words_of(F.coalesce("text", F.lit("")))).alias("tokens"), F.size(passages.words_of(F.col("text"))).alias("new_tokens"),
         F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"),
     )
-    counted = stored(counted, "token-counts")
-    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    # Ids may be missing or repeated, so rows get marks; as the table is stored, they stay. Rows without an id come last.
+    counted = stored(counted.withColumn("mark", F.monotonically_increasing_id()), "token-counts")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    first = counted.groupBy("digest").agg(F.min_by("mark", place).alias("first_mark"))
     marked = counted.join(first, "digest")
     path = fresh_folder(spark, "token-ledger")
     rollups.commit(rollups.inserts(counted, keys, "tokens"), path, "load", keys)
-    later = rollups.deletes(marked.filter("doc_id <> first_id"), keys, "tokens")
+    later = rollups.deletes(marked.filter("mark <> first_mark"), keys, "tokens")
     for _ in range(2):
         rollups.commit(later, path, "copies out", keys)
-    other = marked.filter("doc_id = first_id and tokens <> new_tokens")
+    other = marked.filter("mark = first_mark and tokens <> new_tokens")
     recount = rollups.revisions(other, keys, "tokens", ["source", "lang", "new_version"], "new_tokens")
     rollups.commit(recount, path, "recount", keys)
     sums = rollups.totals(spark, path, ["load", "copies out", "recount"], keys)

@@ -33,6 +33,19 @@ def test_query_against_sql(spark, name):
     assert sorted(str([r[c] for c in names]) for r in df.collect()) == sorted(str(list(r)) for r in cursor.fetchall())
 
 
+def test_token_counts_of_missing_and_repeated_ids(spark, tmp_path):
+    rows = [(1, "a b"), (1, "a b"), (None, "a b"), (None, "c-d e"), (None, "c-d e"), (3, "f"), (None, None), (4, "")]
+    docs = spark.createDataFrame([(*r, "s", "en") for r in rows], "doc_id bigint, text string, source string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cursor = con.execute(ORACLES["op4_token_counts"])
+    names = [d[0] for d in cursor.description]
+    got = QUERIES["op4_token_counts"](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(cursor.fetchall())
+    assert sorted(tuple(r)[2:] for r in got) == [("space_words@1", 3, 3), ("words@2", 1, 3)]
+
+
 def test_ten_operators_and_the_pipeline_are_registered():
     import __spark_entry__
 
