@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lines, overlap, packing, passages, quality, rollups, shards, spans, toxicity, warc
+from . import bytepairs, lines, manifest, overlap, packing, passages, quality, rollups, shards, spans, spelling, toxicity, warc
 from .frames import bounded, fresh_folder, stored
 
 #: Folder of the public tokenizers and the split pattern of the byte-level ones.
 TOKENIZER_FILE = "byte_bpe_50k.json"
+RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -211,3 +212,132 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     rollups.commit(recount, path, "recount", keys)
     sums = rollups.totals(spark, path, ["load", "copies out", "recount"], keys)
     return sums.select(*keys, F.col("n_rows").alias("n_documents"), "n_tokens")
+
+
+#: crc32 of a text of code points below U+0100, in SQL: bytes and, for each, eight steps over the bits.
+CRC32 = (
+    "xor(list_reduce(flatten([CASE WHEN ord(ch) < 128 THEN [ord(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] "
+    "ELSE [(192 + (ord(ch) >> 6))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1, (128 + (ord(ch) & 63))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] END "
+    "FOR ch IN string_split({}, '')]), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END, 4294967295), 4294967295)")
+
+OP11_SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+  FROM documents
+),
+hashed AS (
+  SELECT w, k, {CRC32.format("coalesce(doc_id::VARCHAR, '') || ':' || w")} AS h
+  FROM (SELECT doc_id, w, count(*) AS k FROM runs GROUP BY ALL)
+),
+slipped AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, k FROM hashed
+),
+words AS (SELECT word, sum(k)::BIGINT AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+less AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+),
+near AS (
+  SELECT a.word, b.word AS near, b.n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND length(a.word) = length(b.word) AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+),
+best AS (
+  SELECT word, count(*)::BIGINT AS n_near, max(n) AS top, first(near ORDER BY n DESC, near) AS near FROM near GROUP BY word
+),
+forms AS (
+  SELECT word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * words.n THEN near END AS form, CASE WHEN top >= 5 * words.n THEN top END AS form_n
+  FROM words LEFT JOIN best USING (word)
+),
+up AS (
+  SELECT word, word AS root, 0 AS step FROM forms
+  UNION ALL SELECT up.word, forms.form, step + 1 FROM up JOIN forms ON up.root = forms.word WHERE forms.form IS NOT NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, arg_max(root, step) AS root FROM up GROUP BY word) USING (word)
+"""
+
+
+@query(OP11_SQL)
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    words = spelling.column_words(table(spark, folder, "documents"), row_id="doc_id", column="text", slip=199)
+    return spelling.spelling_variants(words, least_length=6, least_count=5, ratio=5)
+
+
+@query()
+def op12_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path(RANK_FILE)
+    encoded = bytepairs.encode_cells(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, row_id="doc_id", column="text")
+    rows = bytepairs.decode_cells(encoded, ranks, carry=True)
+    written = F.array_join(F.transform("token_ids", lambda i: i.cast("string")), ",")
+    return rows.select(
+        F.col("row_id").alias("doc_id"), F.size("token_ids").cast("bigint").alias("n_tokens"),
+        F.sha2(written.cast("binary"), 256).alias("ids_sha256"), F.sha2("cell", 256).alias("decoded_sha256"))
+
+
+def _framed(column: str) -> str:
+    return f"coalesce(octet_length(encode({column}::VARCHAR))::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+
+LOWER_TEXT = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP13_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, leaf, CASE WHEN changed THEN other ELSE leaf END AS other,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, CASE WHEN changed THEN other END NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+  FROM (
+    SELECT doc_id, lang, coalesce({CRC32.format("doc_id::VARCHAR")} % 3 = 0, false) AS changed,
+      sha256({' || '.join(map(_framed, ('doc_id', 'source', 'lang', 'n_chars', 'text')))}) AS leaf,
+      sha256({' || '.join(map(_framed, ('doc_id', 'source', 'lang', 'n_chars', LOWER_TEXT)))}) AS other
+    FROM documents
+  )
+),
+nodes AS (
+  SELECT lang, 0 AS level, i, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT lang, any_value(level) + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 7) // 8 FROM nodes WHERE n > 1 GROUP BY lang, i // 8
+),
+subroots AS (SELECT lang, level, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper_nodes AS (
+  SELECT 0 AS level, i, h, n FROM subroots
+  UNION ALL
+  SELECT any_value(level) + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 7) // 8 FROM upper_nodes WHERE n > 1 GROUP BY i // 8
+),
+runs AS (
+  SELECT lang, level, i // 8 AS run, list(h ORDER BY i) AS hs FROM nodes WHERE n > 1 GROUP BY ALL
+),
+upper_runs AS (SELECT level, i // 8 AS run, list(h ORDER BY i) AS hs FROM upper_nodes WHERE n > 1 GROUP BY ALL),
+climb AS (
+  SELECT leaves.doc_id, leaves.lang, leaves.i AS leaf_i, leaves.i, 0 AS level, other AS h, '' AS proof FROM leaves
+  UNION ALL
+  SELECT doc_id, climb.lang, leaf_i, climb.i // 8, climb.level + 1, sha256(array_to_string(list_concat(hs[:climb.i % 8], [climb.h], hs[climb.i % 8 + 2:]), '')),
+    proof || array_to_string(list_concat(hs[:climb.i % 8], hs[climb.i % 8 + 2:]), '')
+  FROM climb JOIN runs ON climb.lang IS NOT DISTINCT FROM runs.lang AND climb.level = runs.level AND climb.i // 8 = run
+),
+at_top AS (
+  SELECT climb.doc_id, climb.lang, leaf_i, subroots.i, climb.h, proof, subroots.h AS subroot
+  FROM climb JOIN subroots ON climb.lang IS NOT DISTINCT FROM subroots.lang AND climb.level = subroots.level
+),
+up AS (
+  SELECT doc_id, lang, leaf_i, subroot, i, 0 AS level, h, proof FROM at_top
+  UNION ALL
+  SELECT doc_id, lang, leaf_i, subroot, up.i // 8, up.level + 1, sha256(array_to_string(list_concat(hs[:up.i % 8], [up.h], hs[up.i % 8 + 2:]), '')),
+    proof || array_to_string(list_concat(hs[:up.i % 8], hs[up.i % 8 + 2:]), '')
+  FROM up JOIN upper_runs ON up.level = upper_runs.level AND up.i // 8 = run
+),
+top AS (SELECT level, h AS root FROM upper_nodes WHERE n = 1)
+SELECT up.doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, up.h AS folded_root, up.h = root AS verified
+FROM up JOIN top USING (level) JOIN leaves ON leaves.lang IS NOT DISTINCT FROM up.lang AND leaves.i = up.leaf_i
+"""
+
+
+@query(OP13_SQL)
+def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = manifest.sheet_manifest(
+        table(spark, folder, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], row_id="doc_id", group="lang",
+        edits={"text": lower}, edited=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0)
+    return rows.select(
+        F.col("row_id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.array_join("siblings", "").cast("binary"), 256).alias("proof_sha256"),
+        F.col("version_root").alias("folded_root"), "verified")
