@@ -11,22 +11,25 @@ from __future__ import annotations
 import base64
 import bisect
 import functools
+import gc
 import heapq
+import struct
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
-import unicodedata
 from pyspark.sql import DataFrame
 
-from .frames import cells
+from .frames import cells, named
 from .packing import _arrow_type
 
 #: Bytes of words whose merges are replayed together; a longer word is a block of its own.
-BLOCK_BYTES = 1 << 18
+BLOCK_BYTES = 1 << 15
 #: Different words whose ids a task remembers.
 HELD_WORDS = 1 << 18
 #: Token ids are smaller; this one marks the ends of words and is in no pair.
@@ -35,12 +38,32 @@ END = (1 << 20) - 1
 
 @dataclass
 class Vocabulary:
-    """Tokens by id, ids of tokens, and the token each pair of neighbouring tokens makes."""
+    """Ids of tokens, and by two neighbouring ids (first << 20 | second) the token they make."""
 
-    tokens: dict[int, bytes]
     ids: dict[bytes, int]
     made: dict[int, int]
 
+    def __post_init__(self):
+        size = max(self.ids.values(), default=-1) + 1
+        self.lengths = np.zeros(size, np.int64)
+        tokens = [b""] * size
+        for token, i in self.ids.items():
+            tokens[i], self.lengths[i] = token, len(token)
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.single = np.array([self.ids[bytes([b])] for b in range(256)])
+        self.pairs = np.array(sorted(self.made), np.int64)
+        self.makes = np.array([self.made[x] for x in self.pairs.tolist()], np.int64)
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, and where each id's end."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths) or not self.lengths[ids].all()):
+            raise ValueError("an id that the vocabulary does not have")
+        sizes = self.lengths[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[ids] - (ends - sizes), sizes)
+        return self.bytes[at + np.arange(len(at))], ends
+
 
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
@@ -53,10 +76,28 @@ def vocabulary(path: str) -> Vocabulary:
             left, right = ids.get(token[:cut]), ids.get(token[cut:])
             if left is not None and right is not None:
                 made[left << 20 | right] = i
-    return Vocabulary({i: token for token, i in ids.items()}, ids, made)
-
-
-def replay(words: list[bytes], known: Vocabulary) -> list[tuple[int, ...]]:
+    return Vocabulary(ids, made)
+
+
+def inverted_index(words: list[bytes], known: Vocabulary) -> tuple[dict[int, list[int]], list[int], list[int], list[int]]:
+    """The corpus of some words: places by the token that the pair there makes; tokens, ranks, and the words' first places."""
+    data = np.frombuffer(b"".join(words), np.uint8)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(sizes + 1) - sizes
+    tokens = np.full(len(data) + len(words) + 1, END, np.int64)
+    tokens[np.arange(len(data)) + np.repeat(np.arange(1, len(words) + 1), sizes)] = known.single[data]
+    pairs = tokens[:-1] << 20 | tokens[1:]
+    at = np.minimum(np.searchsorted(known.pairs, pairs), max(0, len(known.pairs) - 1))
+    made = np.where(known.pairs[at] == pairs, known.makes[at], -1) if len(known.pairs) else np.full(len(pairs), -1)
+    there = np.flatnonzero(made >= 0)
+    there = there[np.argsort(made[there], kind="stable")]
+    ranks, first = np.unique(made[there], return_index=True)
+    places, first = there.tolist(), [*first.tolist(), len(there)]
+    index = {r: places[a:b] for r, a, b in zip(ranks.tolist(), first, first[1:])}
+    return index, tokens.tolist(), [*made.tolist(), -1], starts.tolist()
+
+
+def replay(words: list[bytes], known: Vocabulary) -> list[list[int]]:
     """Token ids of each word after all merges of the vocabulary.
 
     In every word the pair of lowest rank merges first, the leftmost of equal
@@ -64,25 +105,20 @@ def replay(words: list[bytes], known: Vocabulary) -> list[tuple[int, ...]]:
     of the index counts only while it agrees with it. Should a merge make a
     pair of a still lower rank, the word's later places wait for that pair.
     """
-    made, ids = known.made, known.ids
-    single = [ids[bytes([b])] for b in range(256)]
-    tokens, starts = [END], []
-    for word in words:
-        starts.append(len(tokens))
-        tokens.extend([single[b] for b in word])
-        tokens.append(END)
+    made = known.made.get
+    index, tokens, rank, starts = inverted_index(words, known)
     n = len(tokens)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    rank, index = [-1] * n, {}
-    for i in range(n - 1):
-        r = made.get(tokens[i] << 20 | tokens[i + 1])
-        if r is not None:
-            rank[i] = r
-            if r in index:
-                index[r].append(i)
-            else:
-                index[r] = [i]
     heap = sorted(index)
+
+    def enter(new: int, at: int) -> None:
+        held = index.get(new)
+        if held is None:
+            index[new] = [at]
+            heapq.heappush(heap, new)
+        else:
+            held.append(at)
+
     while heap:
         r = heapq.heappop(heap)
         places = index.pop(r)
@@ -94,38 +130,30 @@ def replay(words: list[bytes], known: Vocabulary) -> list[tuple[int, ...]]:
             if i < wait_to:
                 waiting.append(i)
                 continue
-            gone = after[i]
+            gone, left = after[i], before[i]
             right = after[gone]
-            left = before[i]
             tokens[i] = r
             after[i] = right
             before[right] = i
             rank[gone] = -1
-            for at, pair in ((i, r << 20 | tokens[right]), (left, tokens[left] << 20 | r)):
-                new = made.get(pair, -1)
-                rank[at] = new
-                if new >= 0:
-                    if new in index:
-                        index[new].append(at)
-                    else:
-                        index[new] = [at]
-                        heapq.heappush(heap, new)
-                    if new < r:
-                        k = bisect.bisect(starts, i)
-                        wait_to = starts[k] if k < len(starts) else n
-        if waiting:
-            if r in index:
-                index[r].extend(waiting)
-            else:
-                index[r] = waiting
-                heapq.heappush(heap, r)
+            rank[i] = ahead = made(r << 20 | tokens[right], -1)
+            rank[left] = behind = made(tokens[left] << 20 | r, -1)
+            if ahead >= 0:
+                enter(ahead, i)
+            if behind >= 0:
+                enter(behind, left)
+            if 0 <= ahead < r or 0 <= behind < r:
+                k = bisect.bisect(starts, i)
+                wait_to = starts[k] if k < len(starts) else n
+        for i in waiting:
+            enter(r, i)
     out = []
-    for start in starts:
-        own, i = [], start
-        while tokens[i] != END:
-            own.append(tokens[i])
+    for i in starts:
+        own = []
+        while (token := tokens[i]) != END:
+            own.append(token)
             i = after[i]
-        out.append(tuple(own))
+        out.append(own)
     return out
 
 
@@ -138,11 +166,12 @@ def splitter(pattern: str):
     and numbers, the library itself is asked, and what it takes for neither is
     left out of the classes.
     """
+    points = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
+    first = [unicodedata.category(c)[0] for c in points]
     doubtful = []
     for name in ("L", "N"):
-        has = regex.compile(rf"\p{{{name}}}")
-        doubtful += [(name, chr(c)) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000
-                     and (unicodedata.category(chr(c))[0] == name) != bool(has.match(chr(c)))]
+        has = set(regex.findall(rf"\p{{{name}}}", points))
+        doubtful += [(name, c) for c, kind in zip(points, first) if (kind == name) != (c in has)]
     lead = {"L": "a", "N": "1"}
     whole = dict.fromkeys((lead[name] + c).encode() for name, c in doubtful)
     ranks = {bytes([b]): b for b in range(256)} | {t: 256 + i for i, t in enumerate(whole)}
@@ -182,33 +211,42 @@ def encode_cells(sheet: DataFrame, ranks: str, pattern: str, row_id: str = "row_
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, split = vocabulary(ranks), splitter(pattern)
-        ids_of: dict[str, tuple[int, ...]] = {}
+        ids_of: dict[str, bytes] = {}  # little-endian 32-bit ids, which join without a loop
 
         def learn(words: list[list[str]]) -> None:
-            block, size = [], 0
             if len(ids_of) > HELD_WORDS:
                 ids_of.clear()
+            block: list[tuple[str, bytes]] = []
+            size = 0
+
+            def finish() -> None:
+                for (word, _), ids in zip(block, replay([text for _, text in block], known)):
+                    ids_of[word] = struct.pack(f"<{len(ids)}i", *ids)
+                block.clear()
+
             for word in set().union(*words).difference(ids_of):
                 text = word.encode()
                 whole = known.ids.get(text)
                 if whole is not None:
-                    ids_of[word] = (whole,)
+                    ids_of[word] = struct.pack("<i", whole)
                     continue
-                block.append(word)
+                block.append((word, text))
                 size += len(text)
                 if size > BLOCK_BYTES:
-                    ids_of.update(zip(block, replay([w.encode() for w in block], known)))
-                    block, size = [], 0
-            ids_of.update(zip(block, replay([w.encode() for w in block], known)))
+                    finish()
+                    size = 0
+            finish()
 
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                words = [split(cell.as_py() or "") for cell in part.column(1)]
+                words = [split(cell) if cell else [] for cell in part.column(1).to_pylist()]
+                gc.disable()  # nothing here refers to itself, and each pass would visit all words
                 learn(words)
-                rows = [np.fromiter((i for w in own for i in ids_of[w]), np.int32) for own in words]
-                offsets = np.cumsum([0, *map(len, rows)])
-                values = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32))
+                gc.enable()
+                rows = [b"".join(map(ids_of.__getitem__, own)) for own in words]
+                offsets = np.cumsum([0, *map(len, rows)]) // 4
+                values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(rows))])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(key_type), lists], ["row_id", "token_ids"])
 
@@ -220,18 +258,20 @@ def decode_cells(encoded: DataFrame, ranks: str, row_id: str = "row_id", token_i
 
     Null ids and no ids are an empty cell; an id that the vocabulary does not have is an error.
     """
-    from .frames import named
-
     source = encoded.select(named(row_id).alias("row_id"), named(token_ids).cast("array<int>").alias("token_ids"))
     kind, key_type = source.schema["row_id"].dataType.simpleString(), _arrow_type(source)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = vocabulary(ranks).tokens
+        known = vocabulary(ranks)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                found = [b"".join([tokens[i] for i in own.values.to_pylist()]) if own.is_valid else b"" for own in part.column(1)]
-                columns = [part.column(0).cast(key_type), pa.array(found, pa.binary()), *([part.column(1)] if carry else [])]
+                given = part.column(1)
+                data, ends = known.decode(given.flatten().to_numpy(zero_copy_only=False))
+                ids_before = np.cumsum([0, *pc.fill_null(pc.list_value_length(given), 0).to_pylist()])
+                offsets = np.concatenate(([0], ends))[ids_before]
+                found = pa.Array.from_buffers(pa.large_binary(), len(given), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+                columns = [part.column(0).cast(key_type), found.cast(pa.binary()), *([given] if carry else [])]
                 yield pa.RecordBatch.from_arrays(columns, ["row_id", "cell", *(["token_ids"] if carry else [])])
 
     return source.mapInArrow(decode, f"row_id {kind}, cell binary" + (", token_ids array<int>" if carry else ""))
