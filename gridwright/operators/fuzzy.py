@@ -3,23 +3,29 @@
 Keys are compared by ``1 - edit distance / longer length``. Candidates come
 from equality joins on signatures, never from comparing all pairs:
 
-* distance 1 and 2 - two keys within ``d`` edits share a text that is left
-  after deleting at most ``d`` characters from each (deletion neighbourhood).
-  A bucket holds only keys that are a few insertions away from one text, so its
-  size is set by the alphabet and not by the size of the tables;
-* larger distances, possible for long keys only - two keys within ``k`` edits
-  share at least ``longer length - k`` characters, counted with repetition.
-  With characters ordered from rare to frequent, their first ``k + m``
-  characters have ``m`` in common (prefix filter), so they share a signature
-  of ``m`` rare characters.
-
-Every candidate is checked with ``levenshtein``; the result is complete.
+* distance 1 - two keys that differ in one character share a text that is left
+  after deleting at most one character from each (deletion neighbourhood);
+* thresholds from 0.75 on - a key is cut into one segment more than it can
+  have edits. An edit touches one segment at most, so a similar key holds a
+  segment unchanged; the edits left and right of it bound its place. Segments
+  are as long as ``1 / (1 - threshold)`` characters, whatever the key's length.
+  Lengths are put into narrow classes that share their cuts, so that a key is
+  looked up in few of them;
+* lower thresholds - two keys within ``k`` edits share at least
+  ``longer length - k`` characters, counted with repetition. With characters
+  ordered from rare to frequent, their first ``k + m`` characters have ``m`` in
+  common (prefix filter), so they share a signature of ``m`` rare characters.
+
+Signatures that many keys have, such as the common head of numbered names, are
+spread over many tasks, and pairs whose characters alone tell them apart end in
+the join. Every other candidate is checked with ``levenshtein``; the result is complete.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cells import cell, col, norm_key
@@ -28,27 +34,17 @@ from ..session import checkpointed
 from ..streaming.guard import batch_only
 from .lookups import PREFIX, _free_names, first_per_key
 from .ordering import first_rows
+from .skew import join_salted
 
 CHARACTER_BUCKETS = 4096
+GRAM_BUCKETS = 1 << 14
 EPS = 1e-9
-
-
-def _deletions(s: Column) -> Column:
-    """The text and all texts with one character removed."""
-    n = F.char_length(s)
-    cut = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, n)),
-    )
-    return F.when(n > 0, F.array_distinct(F.array_append(cut, s))).otherwise(F.array(s))
-
-
-def _neighbourhood(s: Column, depth: int) -> Column:
-    """Hashes of all texts left after at most ``depth`` deletions."""
-    texts = _deletions(s)
-    for _ in range(depth - 1):
-        texts = F.array_distinct(F.flatten(F.transform(texts, _deletions)))
-    return F.transform(texts, lambda t: F.xxhash64(t))
+#: From this threshold on segments are long enough to tell keys apart.
+SEGMENTS_FROM = 0.75
+#: Up to so many keys no signature can be hot, and the plain join has fewer stages.
+SALT_FROM = 20_000
+#: Options that are assigned one by one in a single task.
+SEQUENTIAL_ROWS = 100_000
 
 
 def _allowed(x: Column, y: Column, threshold: float) -> Column:
@@ -57,26 +53,116 @@ def _allowed(x: Column, y: Column, threshold: float) -> Column:
     return F.floor(longer * F.lit(1 - threshold) + F.lit(EPS)).cast("int")
 
 
-def _most_edits(x: Column, threshold: float) -> Column:
-    """Largest admissible distance of a key to any partner."""
-    return F.floor(F.char_length(x) * F.lit((1 - threshold) / threshold) + F.lit(EPS)).cast("int")
+def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs at or above the threshold with their score; a bounded distance stops early."""
+    x, y = col("lkey"), col("rkey")
+    most = _allowed(x, y, threshold)
+    distance = F.levenshtein(x, y)
+    for bound in (16, 6, 2):
+        distance = F.when(most <= bound, F.levenshtein(x, y, bound)).otherwise(distance)
+    longer = F.greatest(F.char_length(x), F.char_length(y))
+    score = F.when(distance >= 0, F.when(longer == 0, F.lit(1.0)).otherwise(1 - distance / longer))
+    return pairs.withColumn("score", score).filter(F.col("score") >= F.lit(threshold - EPS))
 
 
-def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
-    return pairs.withColumn("score", edit_similarity(col("lkey"), col("rkey"))).filter(
-        F.col("score") >= F.lit(threshold - EPS)
-    )
+def _width(n: Column) -> Column:
+    """Lengths in the class of length ``n``: one below 32, then at most a sixteenth of it."""
+    return F.pow(F.lit(2), F.greatest(F.lit(0), F.length(F.bin(n)) - 5)).cast("int")
 
 
-def _near(left: DataFrame, right: DataFrame, depth: int, threshold: float) -> DataFrame:
-    """Pairs at distance at most ``depth`` that meet the threshold."""
-    a = left.filter(_most_edits(col("lkey"), threshold) >= depth).select("lkey", F.explode(_neighbourhood(col("lkey"), depth)).alias("sig"))
-    b = right.filter(_most_edits(col("rkey"), threshold) >= depth).select("rkey", F.explode(_neighbourhood(col("rkey"), depth)).alias("sig"))
-    close = a.join(b, "sig").filter(
-        F.abs(F.char_length("lkey") - F.char_length("rkey")) <= F.least(F.lit(depth), _allowed(col("lkey"), col("rkey"), threshold))
-    )
-    pairs = close.filter(F.levenshtein("lkey", "rkey", depth) >= 0).select("lkey", "rkey").distinct()
-    return _verified(pairs, threshold)
+def _class_of(n: Column) -> Column:
+    """The shortest length of the class of ``n``."""
+    return n - n % _width(n)
+
+
+def _class_edits(low: Column, threshold: float) -> Column:
+    """Most edits between a key whose length class starts at ``low`` and any similar key."""
+    longest = F.floor((low + _width(low) - 1) / F.lit(threshold) + F.lit(EPS))
+    return F.floor(longest * F.lit(1 - threshold) + F.lit(EPS)).cast("int")
+
+
+def _cut(low: Column, edits: Column, i: Column) -> Column:
+    """Where segment ``i`` of a class starts; the one behind the last is the end of the shortest key."""
+    return F.floor(i * low / (edits + 1)).cast("int")
+
+
+def _segments(key: Column, threshold: float) -> Column:
+    """Signatures of a key's own segments."""
+    low = _class_of(F.char_length(key))
+
+    def cut_up(at: Column) -> Column:
+        a, edits = at["a"], at["e"]
+        return F.transform(F.sequence(F.lit(0), edits), lambda i: F.xxhash64(
+            a, i, F.substring(key, _cut(a, edits, i) + 1, _cut(a, edits, i + 1) - _cut(a, edits, i))))
+
+    # The class is bound once, so that it is not computed again for each segment.
+    bound = F.transform(F.array(F.struct(low.alias("a"), _class_edits(low, threshold).alias("e"))), cut_up)
+    return F.flatten(bound)
+
+
+def _segment_probes(key: Column, threshold: float) -> Column:
+    """Signatures of all parts of a key that may be a segment of a similar key.
+
+    Segment ``i`` of a key with ``e + 1`` segments can be asked for with
+    exactly ``i`` edits before it and at most ``e - i`` behind it.
+    """
+    n = F.char_length(key)
+    shortest = F.greatest(F.lit(1), F.ceil(n * F.lit(threshold) - F.lit(EPS)).cast("int"))
+    longest = F.floor(n / F.lit(threshold) + F.lit(EPS)).cast("int")
+    lows = F.array_distinct(F.transform(F.sequence(shortest, longest), _class_of))
+
+    def of_class(at: Column) -> Column:
+        a, w, edits = at["a"], at["w"], at["e"]
+
+        def of_segment(i: Column) -> Column:
+            start, size = _cut(a, edits, i), _cut(a, edits, i + 1) - _cut(a, edits, i)
+            first = F.greatest(-i, n - (a + w - 1) - (edits - i), -start)
+            last = F.least(i, n - a + edits - i, n - size - start)
+            shifts = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+            return F.transform(shifts, lambda d: F.xxhash64(a, i, F.substring(key, start + d + 1, size)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), edits), of_segment))
+
+    classes = F.transform(lows, lambda a: F.struct(a.alias("a"), _width(a).alias("w"), _class_edits(a, threshold).alias("e")))
+    return F.array_distinct(F.flatten(F.transform(classes, of_class)))
+
+
+def _joined(probes: DataFrame, index: DataFrame, keys: list[str], probe: str, salted: bool) -> DataFrame:
+    """Equality join of signatures; with ``salted`` those with a large share of the probes are spread by the probing key."""
+    return join_salted(probes, index, keys, "inner", col(probe)) if salted else probes.join(index, keys)
+
+
+def _characters(key: Column) -> Column:
+    """64 bits that say which (hashed) characters a key has; an edit changes two at most."""
+    chars = F.filter(F.split(key, ""), lambda c: c != "")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
+    return F.aggregate(chars, F.lit(0).cast("bigint"), lambda bits, c: bits.bitwiseOR(bit(c)))
+
+
+def _segment_candidates(left: DataFrame, right: DataFrame, threshold: float, salted: bool) -> DataFrame:
+    """Pairs that share a segment signature and differ little enough in length and characters."""
+    a = left.filter(F.char_length("lkey") > 0).select("lkey", _characters(col("lkey")).alias("_lbits"), F.explode(_segment_probes(col("lkey"), threshold)).alias("sig"))
+    b = right.filter(F.char_length("rkey") > 0).select("rkey", _characters(col("rkey")).alias("_rbits"), F.explode(_segments(col("rkey"), threshold)).alias("sig"))
+    gap = F.abs(F.char_length("lkey") - F.char_length("rkey"))
+    most = _allowed(col("lkey"), col("rkey"), threshold)
+    close = (gap <= most) & (F.bit_count(F.col("_lbits").bitwiseXOR(F.col("_rbits"))) <= 2 * most) & (F.col("lkey") != F.col("rkey"))
+    return _joined(a, b, ["sig"], "lkey", salted).filter(close).select("lkey", "rkey").distinct()
+
+
+def _deletions(key: Column) -> Column:
+    """Hashes of a key and of all texts with one of its characters removed."""
+    n = F.char_length(key)
+    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.concat(F.substring(key, F.lit(1), i - 1), F.substring(key, i + 1, n))))
+    return F.array_distinct(F.array_append(cut, F.xxhash64(key)))
+
+
+def _one_edit(left: DataFrame, right: DataFrame, threshold: float, salted: bool) -> DataFrame:
+    """All pairs at distance 1 that meet the threshold."""
+    long = lambda c: F.char_length(c) >= F.lit(threshold / (1 - threshold) - EPS)
+    a = left.filter(long("lkey")).select("lkey", F.explode(_deletions(col("lkey"))).alias("sig"))
+    b = right.filter(long("rkey")).select("rkey", F.explode(_deletions(col("rkey"))).alias("sig"))
+    met = (F.abs(F.char_length("lkey") - F.char_length("rkey")) <= 1) & (F.levenshtein("lkey", "rkey", 1) == 1)
+    return _verified(_joined(a, b, ["sig"], "lkey", salted).filter(met).select("lkey", "rkey").distinct(), threshold)
 
 
 def _marked_characters(s: Column) -> Column:
@@ -92,15 +178,18 @@ def _bucket(mark: Column) -> Column:
     return F.pmod(F.xxhash64(mark), F.lit(CHARACTER_BUCKETS)).cast("int")
 
 
-def _rarity(right: DataFrame) -> DataFrame:
-    """One row: how often each hashed character occurs; the array has a fixed size."""
-    marks = right.select(F.explode(_marked_characters(col("rkey"))).alias("m")).groupBy(_bucket(F.col("m")).alias("b"))
-    seen = marks.agg(F.count(F.lit(1)).alias("n"))
-    every = right.sparkSession.range(CHARACTER_BUCKETS).select(F.col("id").cast("int").alias("b"))
+def _bucket_counts(items: DataFrame, buckets: int) -> DataFrame:
+    """One row: how often each hashed item of the column ``m`` occurs; the array has a fixed size."""
+    seen = items.groupBy(F.pmod(F.xxhash64("m"), F.lit(buckets)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    every = items.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"))
     dense = every.join(seen, "b", "left").select(F.struct("b", F.coalesce("n", F.lit(0)).alias("n")).alias("s"))
     return dense.agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["n"]).alias("rarity"))
 
 
+def _rarity(right: DataFrame) -> DataFrame:
+    return _bucket_counts(right.select(F.explode(_marked_characters(col("rkey"))).alias("m")), CHARACTER_BUCKETS)
+
+
 def _subsets(items: Column, size: int) -> Column:
     """Hashes of all ordered subsets of the given size."""
     def grow(prefix: list[Column], last: Column | None, depth: int) -> Column:
@@ -116,10 +205,8 @@ def _subsets(items: Column, size: int) -> Column:
 
 
 # Bands of the longer key's length, each with the number of shared characters
-# its signatures hold. A pair falls in exactly one band. A tight threshold
-# leaves more characters in common, so its signatures can hold more of them.
+# its signatures hold. A pair falls in exactly one band.
 _BANDS = ((3, 5, 2), (6, 24, 4), (25, 60, 3), (61, None, 2))
-_TIGHT_BANDS = ((3, 5, 2), (6, 12, 3), (13, 26, 5), (27, 45, 4), (46, 80, 3), (81, None, 2))
 
 
 def _band_signatures(key: Column, ranked: Column, threshold: float, band: tuple) -> Column:
@@ -147,55 +234,45 @@ def _rare_signatures(df: DataFrame, key: str, rarity: DataFrame, threshold: floa
     return ranked.select(key, F.inline(F.concat(*arrays) if len(arrays) > 1 else arrays[0]))
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, least_edits: int = 0) -> DataFrame:
-    """All pairs ``(lkey, rkey, score)`` of distinct keys with similarity at or above the threshold.
-
-    Equal keys are left out. ``least_edits`` restricts the search to pairs of
-    keys that can be that far apart.
-    """
-    if not 0.6 <= threshold < 1:
-        raise ValueError("the threshold must be at least 0.6 and below 1")
-    if least_edits:
-        left = left.filter(_most_edits(col("lkey"), threshold) >= least_edits)
-        right = right.filter(_most_edits(col("rkey"), threshold) >= least_edits)
-    shortest = least_edits / (1 - threshold)
-    bands = [b for b in (_TIGHT_BANDS if threshold >= 0.8 else _BANDS) if b[1] is None or b[1] >= shortest]
+def _character_candidates(left: DataFrame, right: DataFrame, threshold: float, salted: bool) -> DataFrame:
+    """Pairs that share a signature of rare characters and differ little enough in length."""
     rarity = _rarity(right)
-    a = _rare_signatures(left, "lkey", rarity, threshold, bands)
-    b = _rare_signatures(right, "rkey", rarity, threshold, bands)
+    a = _rare_signatures(left, "lkey", rarity, threshold, _BANDS)
+    b = _rare_signatures(right, "rkey", rarity, threshold, _BANDS)
     longer = F.greatest(F.char_length("lkey"), F.char_length("rkey"))
     gap = F.abs(F.char_length("lkey") - F.char_length("rkey"))
     in_band = reduce(lambda x, y: x | y, [
-        (F.col("band") == low) & (longer >= low) & (F.lit(True) if high is None else longer <= high) for low, high, _ in bands
+        (F.col("band") == low) & (longer >= low) & (F.lit(True) if high is None else longer <= high) for low, high, _ in _BANDS
     ])
     close = in_band & (gap <= _allowed(col("lkey"), col("rkey"), threshold)) & (F.col("lkey") != F.col("rkey"))
-    pairs = a.join(b, ["band", "sig"]).filter(close).select("lkey", "rkey").distinct()
-    return _verified(pairs, threshold)
+    return _joined(a, b, ["band", "sig"], "lkey", salted).filter(close).select("lkey", "rkey").distinct()
 
 
-def _settled(pairs: DataFrame, depth: int) -> DataFrame:
-    """Left keys with a partner at ``depth`` edits that no larger distance can beat."""
-    return pairs.filter(F.char_length("lkey") > depth * depth + depth).select("lkey").distinct()
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, salted: bool = True) -> DataFrame:
+    """All pairs ``(lkey, rkey, score)`` of distinct keys with similarity at or above the threshold.
+
+    Equal keys are left out. ``salted`` spreads hot signatures over tasks; it
+    changes the plan, not the pairs.
+    """
+    if not 0.6 <= threshold < 1:
+        raise ValueError("the threshold must be at least 0.6 and below 1")
+    candidates = _segment_candidates if threshold >= SEGMENTS_FROM else _character_candidates
+    return _verified(candidates(left, right, threshold, salted), threshold)
 
 
 def best_similar(left: DataFrame, right: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Best partner per left key: highest score, then smallest right order.
 
-    ``left`` has ``lkey``; ``right`` has ``rkey`` and ``rorder``. Short
-    distances are tried first and only keys still open are tried further. The
-    keys left after each round are checkpointed, so no round repeats another.
+    ``left`` has ``lkey``; ``right`` has ``rkey`` and ``rorder``. A key of more
+    than two characters with a partner at distance 1 has no better one further
+    away; only the others are searched further.
     """
-    right = checkpointed(right.select("rkey", "rorder"))
+    left, right = checkpointed(left.select("lkey")), checkpointed(right.select("rkey", "rorder"))
     keys = right.select("rkey")
-    still, found = checkpointed(left), []
-    for depth in (1, 2):
-        pairs = checkpointed(_near(still, keys, depth, threshold))
-        found.append(pairs)
-        still = checkpointed(still.join(_settled(pairs, depth), "lkey", "left_anti"))
-    far = still.filter(_most_edits(col("lkey"), threshold) >= 3)
-    if not far.isEmpty():
-        found.append(similar_pairs(far, keys, threshold, least_edits=3))
-    pairs = reduce(lambda a, b: a.unionByName(b), found).distinct()
+    salted = left.count() + right.count() > SALT_FROM
+    near = checkpointed(_one_edit(left, keys, threshold, salted))
+    settled = near.filter(F.char_length("lkey") > 2).select("lkey").distinct()
+    pairs = near.unionByName(similar_pairs(left.join(settled, "lkey", "left_anti"), keys, threshold, salted)).distinct()
     ranked = pairs.join(right, "rkey")
     return first_rows(ranked, [col("lkey")], [F.col("score").desc(), F.col("rorder").asc()]).select("lkey", "rkey", "score")
 
@@ -242,38 +319,54 @@ def fuzzy_find(df: DataFrame, column: str, wanted: str, order_by=(), threshold:
 def _ordered_keys(df: DataFrame, column: str, order_by, nkey: str, raw: str, order: str) -> DataFrame:
     """Distinct raw values with their normal form and the place of their first row."""
     place = F.struct(*[col(c) for c in (order_by or [column])])
-    kept = df.filter(F.coalesce(std_text(col(column).cast("string")) != "", F.lit(False)))
-    grouped = kept.groupBy(col(column).cast("string").alias(raw)).agg(F.min(place).alias(order))
-    return grouped.withColumn(nkey, std_text(col(raw)))
-
-
-def _contained(inner: DataFrame, inner_key: str, outer: DataFrame, outer_key: str) -> DataFrame:
-    """Pairs in which one key is a proper part of the other, by joining on all parts of the outer key."""
-    n = F.char_length(col(outer_key))
-    k = col(outer_key)
-    parts = F.flatten(F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda size: F.substring(k, i, size)),
-    ))
-    parts = F.array_distinct(F.filter(parts, lambda p: p != k))
-    exploded = outer.filter(n > 0).select(outer_key, F.explode(parts).alias("_part"))
-    return exploded.join(inner.select(col(inner_key).alias("_part")), "_part").select(
-        F.col("_part").alias(inner_key), outer_key
-    )
+    grouped = df.filter(col(column).isNotNull()).groupBy(col(column).cast("string").alias(raw)).agg(F.min(place).alias(order))
+    return grouped.withColumn(nkey, std_text(col(raw))).filter(col(nkey) != "")
+
+
+# Lengths of the grams by which a contained key is looked up; a key uses the longest it has.
+_GRAM_SIZES = (6, 3, 2, 1)
+
+
+def _grams(key: Column, size: int) -> Column:
+    n = F.char_length(key)
+    starts = F.when(n >= size, F.sequence(F.lit(1), n - (size - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.substring(key, i, F.lit(size)))
+
+
+def _contained(inner: DataFrame, inner_key: str, outer: DataFrame, outer_key: str, salted: bool) -> DataFrame:
+    """Pairs in which one key is a proper part of the other.
+
+    The inner key is looked up by its rarest gram only, the outer one has a row
+    for each of its different grams: four times its length at most. Grams that
+    very many outer keys have, such as single letters, are spread over tasks.
+    """
+    k, o = col(inner_key), col(outer_key)
+    grams = F.array_distinct(F.concat(*[_grams(o, q) for q in _GRAM_SIZES]))
+    posted = outer.filter(F.char_length(o) > 1).select(outer_key, F.explode(grams).alias("_gram"))
+    counts = _bucket_counts(posted.select(F.col("_gram").alias("m")), GRAM_BUCKETS)
+    n = F.char_length(k)
+    own = reduce(lambda rest, q: F.when(n >= q, _grams(k, q)).otherwise(rest), reversed(_GRAM_SIZES), F.array().cast("array<string>"))
+    bucket = lambda g: F.pmod(F.xxhash64(g), F.lit(GRAM_BUCKETS)).cast("int") + 1
+    rated = inner.filter(n > 0).select(inner_key, own.alias("_own"), counts.scalar().alias("_counts"))
+    rarest = F.array_min(F.transform("_own", lambda g: F.struct(F.element_at("_counts", bucket(g)).alias("n"), g.alias("g"))))
+    anchored = rated.select(inner_key, rarest["g"].alias("_gram"))
+    found = _joined(posted, anchored, ["_gram"], outer_key, salted)
+    return found.filter(F.contains(o, k) & (k != o)).select(inner_key, outer_key)
 
 
 def _mapping_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """Candidate pairs of normal forms with phase and confidence."""
     ln, rn = left.select("lkey").distinct(), right.select("rkey").distinct()
+    salted = left.count() + right.count() > SALT_FROM
     exact = ln.join(rn, col("lkey") == col("rkey")).select("lkey", "rkey", F.lit(1).alias("phase"), F.lit(1.0).alias("confidence"))
-    rest = ln.join(rn.select(F.col("rkey").alias("lkey")), "lkey", "left_anti")
-    inside = _contained(rn, "rkey", rest, "lkey").select("lkey", "rkey")
-    around = _contained(rest, "lkey", rn, "rkey").select("lkey", "rkey")
+    rest = checkpointed(ln.join(rn.select(F.col("rkey").alias("lkey")), "lkey", "left_anti"))
+    inside = _contained(rn, "rkey", rest, "lkey", salted).select("lkey", "rkey")
+    around = _contained(rest, "lkey", rn, "rkey", salted).select("lkey", "rkey")
     part = inside.unionByName(around)
     shorter = F.least(F.char_length("lkey"), F.char_length("rkey"))
     longer = F.greatest(F.char_length("lkey"), F.char_length("rkey"))
     part = part.select("lkey", "rkey", F.lit(2).alias("phase"), (F.lit(0.7) + shorter / longer * 0.15).alias("confidence"))
-    near = similar_pairs(rest, rn, 0.6)
+    near = similar_pairs(rest, rn, 0.6, salted)
     near = near.select("lkey", "rkey", F.lit(3).alias("phase"), F.col("score").alias("confidence"))
     return exact.unionByName(part).unionByName(near)
 
@@ -304,6 +397,26 @@ def key_mapping(left: DataFrame, left_column: str, right: DataFrame, right_colum
     return result.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
 
 
+def _one_by_one(options: DataFrame) -> DataFrame:
+    """``source`` and ``target`` of a bounded number of options, left values in turn, in one task."""
+    def go(batches):
+        used, current, open_ = set(), None, False
+        for batch in batches:
+            sources, targets = [], []
+            for source, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if source != current:
+                    current, open_ = source, True
+                if open_ and target not in used:
+                    used.add(target)
+                    open_ = False
+                    sources.append(source)
+                    targets.append(target)
+            yield pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.array(targets, pa.string())], ["source", "target"])
+
+    ordered = options.repartition(1).sortWithinPartitions("lorder", "source", "pref").select("source", "target")
+    return ordered.mapInArrow(go, "source string, target string")
+
+
 def _assign(options: DataFrame) -> DataFrame:
     """Each left value in turn takes its best free right value.
 
@@ -311,24 +424,47 @@ def _assign(options: DataFrame) -> DataFrame:
     remaining partner, every right value keeps the earliest proposer, and all
     later left values lose that partner at once, whether they proposed or not.
     As all right values rank the left side alike, the outcome is that of going
-    through the left values one by one. A round without a loser ends it; every
-    other round removes options, so it does end.
+    through the left values one by one. A round without a loser ends it.
+
+    The number of rounds is bounded by measured progress. Whatever fits into
+    one task is assigned there one by one; a round in which fewer options were
+    lost is followed by assigning the first left values that way, which
+    settles about ``SEQUENTIAL_ROWS`` options. So there are no more than
+    ``options / SEQUENTIAL_ROWS`` such rounds for any order of the values.
     """
     options = checkpointed(options)
-    remaining = options
-    while True:
+    remaining, n, decided = options, options.count(), []
+    place = F.struct("lorder", "source")
+    while n > SEQUENTIAL_ROWS:
         best = first_rows(remaining, [col("source")], [col("pref").asc()])
-        kept = best.groupBy(F.col("target").alias("_held")).agg(F.min(F.struct("lorder", "source")).alias("_first"))
-        judged = checkpointed(best.join(kept, F.col("target") == F.col("_held")))
-        mine = F.struct("lorder", "source") == F.col("_first")
-        if judged.filter(~mine).isEmpty():
+        kept = best.groupBy(F.col("target").alias("_held")).agg(F.min(place).alias("_first"))
+        left = remaining.join(kept, F.col("target") == F.col("_held"), "left")
+        after = checkpointed(left.filter(F.col("_held").isNull() | (place <= F.col("_first"))).drop("_held", "_first"))
+        left_over = after.count()
+        if left_over == n:
+            decided.append(best.select("source", "target"))
+            n = 0
             break
-        held = judged.filter(mine).select("_held", "_first")
-        left = remaining.join(held, F.col("target") == F.col("_held"), "left")
-        remaining = checkpointed(left.filter(F.col("_held").isNull() | (F.struct("lorder", "source") <= F.col("_first"))).drop("_held", "_first"))
-    judged = judged.drop("_held", "_first")
+        slow, remaining, n = n - left_over < SEQUENTIAL_ROWS, after, left_over
+        if slow and n > SEQUENTIAL_ROWS:
+            first = checkpointed(remaining.orderBy("lorder", "source", "pref").limit(SEQUENTIAL_ROWS))
+            edge = first.agg(F.max(place).alias("p")).scalar()
+            head = first.filter(place < edge)  # the last left value may have more options
+            whole = not head.isEmpty()
+            # A single value with so many options is the first of all and takes its best one.
+            chosen = checkpointed(_one_by_one(head if whole else first))
+            decided.append(chosen)
+            rest = remaining.filter(place >= edge if whole else place > edge)
+            remaining = checkpointed(rest.join(chosen.select("target"), "target", "left_anti").select(*options.columns))
+            n = remaining.count()
+    if n:
+        decided.append(_one_by_one(remaining))
+    if not decided:
+        return options.filter("false")
+    pairs = checkpointed(reduce(lambda a, b: a.unionByName(b), decided))
+    judged = first_rows(options.join(pairs, ["source", "target"], "left_semi"), [col("source")], [col("pref").asc()])
     equal = first_rows(options.filter("phase = 1"), [col("source")], [col("pref").asc()])
-    shared = equal.join(judged.select("source"), "source", "left_anti")
+    shared = equal.join(pairs.select("source"), "source", "left_anti")
     return judged.unionByName(shared)
 
 

@@ -180,7 +180,18 @@ def key_mapping_stats(t):
     return mapping_stats(key_mapping(_names(t), "src", _targets(t), "dst", ["lo"], ["ro"]))
 
 
-@query()
+@query(f"""WITH RECURSIVE {KEYS},
+ o AS (SELECT src, dst, phase, conf, row_number() OVER (PARTITION BY src ORDER BY phase, CASE WHEN phase = 3 THEN -(1 - d / mx) ELSE 0 END, ro, dst) AS pref,
+         min(phase) OVER (PARTITION BY src) AS least FROM s WHERE phase IS NOT NULL),
+ options AS (SELECT src, list(struct_pack(pref := pref, dst := dst, phase := phase, conf := conf) ORDER BY pref) AS offers FROM o WHERE least > 1 OR phase = 1 GROUP BY src),
+ turns AS (SELECT l.src, row_number() OVER (ORDER BY lo, l.src) AS i, offers FROM l LEFT JOIN options ON options.src = l.src),
+ g AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS source, NULL::STRUCT(pref BIGINT, dst VARCHAR, phase INTEGER, conf DOUBLE) AS pick, []::VARCHAR[] AS used
+   UNION ALL
+   SELECT t.i, t.src, pick, CASE WHEN pick.dst IS NULL THEN used ELSE list_append(used, pick.dst) END
+   FROM (SELECT t.i, t.src, used, coalesce(list_filter(offers, lambda x: NOT list_contains(used, x.dst))[1], CASE WHEN offers[1].phase = 1 THEN offers[1] END) AS pick
+         FROM g JOIN turns t ON t.i = g.i + 1) t)
+ SELECT source, pick.dst AS target, pick.phase AS phase, round(coalesce(pick.conf, 0), 6) AS confidence FROM g WHERE i > 0""")
 def key_mapping_one_to_one(t):
-    """Sequential assignment has no SQL form; tests compare it with a direct computation."""
-    return key_mapping(_names(t), "src", _targets(t), "dst", ["lo"], ["ro"], one_to_one=True)
+    """Each left value in turn takes its best free right value."""
+    out = key_mapping(_names(t), "src", _targets(t), "dst", ["lo"], ["ro"], one_to_one=True)
+    return out.withColumn("confidence", F.round("confidence", 6))
