@@ -48,7 +48,7 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
 class Ftrl:
     """FTRL-proximal: per-coordinate learning rates, L1 for sparse weights."""
 
-    def __init__(self, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0):
+    def __init__(self, alpha: float = 0.1, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
 
