@@ -46,21 +46,24 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
 
 
 class Ftrl:
-    """FTRL-proximal: per-coordinate learning rates, L1 for sparse weights."""
+    """FTRL-proximal: per-coordinate learning rates, L1 for sparse weights; the intercept is free of it."""
 
-    def __init__(self, alpha: float = 0.1, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0):
-        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+    def __init__(self, alpha: float = 0.1, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, base: float = 0.0):
+        """``base`` is the log odds from which the intercept is learned."""
+        self.alpha, self.beta, self.l1, self.l2, self.base = alpha, beta, l1, l2, base
         self.z, self.n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
 
     def weights(self, at) -> np.ndarray:
         z, n = self.z[at], self.n[at]
-        w = -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
-        return np.where(np.abs(z) <= self.l1, 0.0, w)
+        l1 = np.where(np.asarray(at) == BUCKETS, 0.0, self.l1)
+        w = -(z - np.sign(z) * l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
+        return np.where(np.abs(z) <= l1, 0.0, w) + np.where(np.asarray(at) == BUCKETS, self.base, 0.0)
 
     def learn(self, buckets: np.ndarray, label: int) -> None:
         at = np.append(buckets, BUCKETS)  # the last is the intercept
         w = self.weights(at)
         g = sigmoid(w.sum()) - label
+        w[-1] -= self.base
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] = n + g * g
@@ -97,7 +100,8 @@ def fit(
                     own = np.unique(buckets[order[bounds[i]:bounds[i + 1]]]).astype(np.int32)
                     examples.append((str(keys[first + i]), len(own), own, outcome[first + i]))
         examples.sort(key=lambda x: x[:2])
-        model = Ftrl()
+        ones = sum(x[3] for x in examples)
+        model = Ftrl(base=float(np.log((ones + 1) / (len(examples) - ones + 1))))
         for k in range(passes):
             for i in np.random.default_rng(k).permutation(len(examples)):
                 model.learn(*examples[i][2:])
