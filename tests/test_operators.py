@@ -27,39 +27,51 @@ def values(df, *names):
     return [tuple(r[n] for n in names) if len(names) > 1 else r[names[0]] for r in df.collect()]
 
 
-@pytest.fixture(scope="module")
-def staff(spark):
-    rows = [
-        (1, "何一舟", "研究室", 10400.0, 5000.0), (2, "沈秋白", "研究室", 11600.0, 6000.0), (3, "陆青", "采购组", 8200.0, 3000.0),
-        (4, "白小溪", "采购组", 8800.0, 4000.0), (5, "方石", "仓储部", 7000.0, 2000.0), (6, "叶知", "仓储部", 7500.0, 1000.0),
-        (7, "金禾", "仓储一部", 6000.0, 500.0), (8, "江月", None, 15000.0, None),
-    ]
-    return spark.createDataFrame(rows, "id int, name string, dept string, salary double, bonus double")
-
-
-def test_conditions(staff):
-    count = lambda *c, **k: filter_rows(staff, list(c), **k).count()
-    assert count(cond("salary", "GTE", 10000)) == 3
-    assert count(cond("bonus", "BETWEEN", (1000, 3000))) == 3
-    assert count(cond("dept", "CONTAINS", "仓储")) == 3
-    assert count(cond("dept", "EQ", "仓储部"), cond("salary", "GT", 7000)) == 1
-    assert count(cond("dept", "NE", "仓储部")) == 5
-    assert count(cond("dept", "NOT_IN", ["仓储部", "采购组"])) == 3
-    assert count(cond("dept", "IS_NULL")) == 1
-    assert count(cond("salary", "GT", other="bonus")) == 7
-    assert count(cond("salary", "IN", ["7000", 7500])) == 2
-    assert count(cond("dept", "IN", ["采购组"] + [str(i) for i in range(2000)])) == 2
-    assert count(cond("dept", "NOT_IN", ["采购组"] + [str(i) for i in range(2000)])) == 5
-
+#: Wells: id, name, field, depth in metres (whole, negative, huge, missing), flow (text, as logged).
+WELLS = [
+    (10, "Anna-1", "north", 120.5, "7"), (11, "anna-2", "NORTH", 0.0, "7.0"), (12, "Bora 3", "delta", -4.25, "n/a"),
+    (13, "", "delta", 9e15, "12"), (14, "Cleo", "", 120.5, ""), (15, None, None, None, None), (16, "Ánna-3", "north ridge", 33.0, "-3"),
+    (17, "Dirk_9%", "delta", 120.5, " 8 "), (18, "Eve", "south", 2.0, "1e2"), (19, "Faye", "south", 4.0, "70"), (20, "Gus", "South", 8.0, "700"),
+]
 
-def test_first_logic_word_is_ignored_and_modes_differ(staff):
-    conds = [cond("dept", "EQ", "研究室", logic="OR"), cond("salary", "GT", 14000, logic="OR"), cond("bonus", "GT", 5500)]
-    assert filter_rows(staff, conds).count() == 1
-    assert filter_rows(staff, conds, mode="groups").count() == 2
 
-
-def test_delete_keeps_rows_with_null(staff):
-    assert delete_where(staff, [cond("bonus", "GT", 0)]).count() == 1
+@pytest.fixture(scope="module")
+def wells(spark):
+    return spark.createDataFrame(WELLS, "id int, name string, field string, depth double, flow string")
+
+
+def test_conditions(wells):
+    ids = lambda *c, **k: sorted(r.id for r in filter_rows(wells, list(c), **k).collect())
+    plain = lambda rule: sorted(w[0] for w in WELLS if rule(w))
+    assert ids(cond("field", "EQ", "north")) == [10, 11]  # case is folded, parts do not count
+    assert ids(cond("field", "CONTAINS", "north")) == [10, 11, 16]
+    assert ids(cond("name", "STARTS_WITH", "ANNA")) == [10, 11]
+    assert ids(cond("name", "ENDS_WITH", "9%")) == [17]
+    assert ids(cond("depth", "GTE", 120.5)) == plain(lambda w: w[3] is not None and w[3] >= 120.5)
+    assert ids(cond("depth", "LT", 0)) == [12]
+    assert ids(cond("depth", "BETWEEN", (0, 33))) == plain(lambda w: w[3] is not None and 0 <= w[3] <= 33)
+    assert ids(cond("flow", "GT", 7)) == [12, 13, 17, 18, 19, 20]  # by number where both are numbers, else by text
+    assert ids(cond("id", "GT", other="depth")) == plain(lambda w: w[3] is not None and w[0] > w[3])
+    assert ids(cond("name", "IS_NULL")) == [13, 15] and ids(cond("name", "NOT_NULL")) == plain(lambda w: w[1])
+    assert 15 not in ids(cond("field", "NE", "south")) and len(ids(cond("field", "NE", "south"))) == 7
+    many = [f"field {i}" for i in range(3000)]
+    assert ids(cond("field", "IN", ["DELTA", *many])) == ids(cond("field", "IN", ["delta"])) == [12, 13, 17]
+    assert ids(cond("field", "NOT_IN", ["delta", *many])) == ids(cond("field", "NOT_IN", ["delta"]))
+    assert ids(cond("depth", "IN", ["8", 2, "4.0"])) == [18, 19, 20]
+
+
+def test_first_logic_word_is_ignored_and_modes_differ(wells):
+    """deep OR (south AND id over 18), against (deep OR south) AND id over 18."""
+    conds = [cond("depth", "GT", 1e6, logic="AND"), cond("field", "EQ", "south", logic="OR"), cond("id", "GT", 18)]
+    for first in ("AND", "OR"):
+        conds[0] = cond("depth", "GT", 1e6, logic=first)
+        assert sorted(values(filter_rows(wells, conds), "id")) == [19, 20]
+        assert sorted(values(filter_rows(wells, conds, mode="groups"), "id")) == [13, 19, 20]
+
+
+def test_delete_keeps_rows_that_can_not_be_compared(wells):
+    left = values(delete_where(wells, [cond("depth", "GT", -100)]), "id")
+    assert left == [15]
 
 
 def test_date_range_on_text(frame):
@@ -75,12 +87,12 @@ def test_number_filters_reach_the_scan(spark):
     assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double,o_orderdate:timestamp_ntz>" in text
 
 
-def test_titles_and_shape(staff):
-    titled = with_titles(staff, {"name": "姓名", "dept": "部门"})
-    assert shape(titled, include=["部门", "name"], reorder=["dept"]).columns == ["dept", "name"]
-    assert rename_columns(titled, {"姓名": "who"}).columns[1] == "who"
-    out = chain(staff, lambda d: d.withColumn("_temp_x", F.lit(1)), (lambda d: d, {"exclude": ["BONUS"]}))
-    assert out.columns == ["id", "name", "dept", "salary"]
+def test_titles_and_shape(wells):
+    titled = with_titles(wells, {"depth": "Depth (m)", "field": "Oil field"})
+    assert shape(titled, include=["Oil field", "id", "Depth (m)"], reorder=["depth"]).columns == ["depth", "id", "field"]
+    assert rename_columns(titled, {"Depth (m)": "metres", "flow": "yield"}).columns == ["id", "name", "field", "metres", "yield"]
+    out = chain(wells, lambda d: d.withColumn("_temp_depth", F.col("depth") * 2), (lambda d: d, {"exclude": ["NAME", "flow"]}))
+    assert out.columns == ["id", "field", "depth"]
 
 
 def test_sort_nulls_last_both_ways(frame):
@@ -91,15 +103,20 @@ def test_sort_nulls_last_both_ways(frame):
     assert values(sort_rows(names, [("n", True)], collation="zh"), "n") == ["阿", "李", "张"]
 
 
-def test_totals(frame, staff):
-    assert column_total(frame([("100",), (None,), ("200",)], "v string"), "v").first()[:] == (300.0, 2)
-    assert column_total(frame([("xx",), ("500",)], "v string"), "v").first()[:] == (500.0, 1)
-    assert column_total(frame([("xx",)], "v string"), "v").first()[:] == (0.0, 0)
-    got = aggregate(staff, [("salary", "SUM"), ("salary", "AVG", "mean"), ("bonus", "COUNT", "n")], ["dept"])
-    by = {r["dept"]: (r["salary_合计"], r["mean"], r["n"]) for r in got.collect()}
-    assert by["研究室"] == (22000.0, 11000.0, 2) and by[None] == (15000.0, 15000.0, 0)
-    assert with_sumif(staff, "s", F.col("dept") == "研究室", "salary").first()["s"] == 22000.0
-    assert with_countif(staff, "c", F.col("bonus") > 4500).first()["c"] == 2
+def test_totals(frame, wells):
+    """Text that is no number takes no part in a column total, and all of it in none."""
+    cells = ["3.5", "-1", "oil", None, "", "1e1"]
+    assert column_total(frame([(c,) for c in cells], "v string"), "v").first()[:] == (12.5, 3)
+    assert column_total(frame([("oil",), (None,)], "v string"), "v").first()[:] == (0.0, 0)
+    got = aggregate(wells, [("depth", "SUM"), ("depth", "MAX", "deepest"), ("depth", "AVG", "mean"), ("id", "COUNT", "n")], ["field"])
+    want = {}
+    for _, _, field, depth, _ in WELLS:
+        want.setdefault(field, []).append(depth)
+    assert {r["field"]: (r["depth_合计"], r["deepest"], r["mean"], r["n"]) for r in got.collect() if r["field"]} == {
+        k: (sum(v), max(v), sum(v) / len(v), len(v)) for k, v in want.items() if k}
+    assert {r["n"] for r in got.collect() if not r["field"]} <= {1, 2}
+    deep = with_countif(with_sumif(wells, "total", F.col("field") == "delta", "depth"), "dry", F.col("flow").isin("n/a", ""))
+    assert {(r["total"], r["dry"]) for r in deep.collect()} == {(9e15 + 120.5 - 4.25, 2)}
 
 
 def test_pivot(frame):
@@ -156,13 +173,14 @@ def test_clean(frame):
     assert clean_counts(df, numeric=["n"]).first()[:] == (4, 2, 2, 2)
 
 
-def test_update_and_edits(staff, frame):
-    out = set_where(staff, "bonus", F.col("bonus") + 1, cond("dept", "EQ", "研究室"))
-    assert dict(values(out, "id", "bonus"))[2] == 6001.0 and dict(values(out, "id", "bonus"))[8] is None
-    assert set_where(staff, "missing", 1).columns == staff.columns
-    edits = frame([(1, "name", "新"), (1, "salary", "1"), (2, "salary", "bad"), (9, "name", "x")], "id int, column string, value string")
-    got = {r["id"]: (r["name"], r["salary"]) for r in apply_edits(staff, edits, "id").collect()}
-    assert got[1] == ("新", 1.0) and got[2] == ("沈秋白", None) and len(got) == 8
+def test_update_and_edits(wells, frame):
+    out = set_where(wells, "depth", F.col("depth") / 2, cond("field", "EQ", "south"))
+    assert {r.id: r.depth for r in out.collect()} == {w[0]: w[3] / 2 if w[2] and w[2].lower() == "south" else w[3] for w in WELLS}
+    assert set_where(wells, "no such column", 1).columns == wells.columns
+    edits = frame([(12, "name", "Bora-3"), (12, "depth", "17"), (18, "depth", "deep"), (99, "name", "nobody")], "id int, column string, value string")
+    got = {r.id: (r.name, r.depth, r.flow) for r in apply_edits(wells, edits, "id").collect()}
+    assert got.pop(12) == ("Bora-3", 17.0, "n/a") and got.pop(18) == ("Eve", None, "1e2")
+    assert got == {w[0]: (w[1], w[3], w[4]) for w in WELLS if w[0] not in (12, 18)}
 
 
 # --- skew ------------------------------------------------------------------------------
@@ -277,12 +295,15 @@ def test_one_to_one_mapping_equals_going_through_the_values(spark):
     assert got == one_by_one(left, right)
 
 
-def test_key_mapping_of_cities(frame):
-    left, right = frame([("泉州",), ("保定",), ("宜宾",)], "k string"), frame([("泉州市",), ("保定市",), ("宜宾",)], "k string")
-    got = {s: (t, p) for s, t, p in values(Z.key_mapping(left, "k", right, "k"), "source", "target", "phase")}
-    assert got == {"泉州": ("泉州市", 2), "保定": ("保定市", 2), "宜宾": ("宜宾", 1)}
-    none = Z.mapping_stats(Z.key_mapping(frame([("茶叶",), ("砚台",)], "k string"), "k", left, "k")).first()
-    assert none[:] == (2, 0, 2, 0.0)
+def test_key_mapping_phases(frame):
+    """One key for each phase, and those that only look alike."""
+    left = frame([("pump A-7",), ("Valve",), ("gasket ring",), ("sensor",)], "k string")
+    right = frame([("PUMP A-7",), ("valve, brass",), ("gaskat rings",), ("rotor",)], "k string")
+    got = {r.source: (r.target, r.phase) for r in Z.key_mapping(left, "k", right, "k").collect()}
+    assert got == {"pump A-7": ("PUMP A-7", 1), "Valve": ("valve, brass", 2), "gasket ring": ("gaskat rings", 3), "sensor": (None, None)}
+    stats = Z.mapping_stats(Z.key_mapping(left, "k", right, "k")).first()
+    assert stats[:] == (4, 3, 1, 0.75)
+    assert Z.mapping_stats(Z.key_mapping(frame([], "k string"), "k", right, "k")).first()[:] == (0, 0, 0, 0.0)
 
 
 # --- profile, audit, quality, checks ------------------------------------------------------------
@@ -321,16 +342,18 @@ def test_rules_and_types(frame):
     assert Q.infer_semantic_types(phones).first()["type"] == "phone"
 
 
-def test_checks_and_diff(spark, staff):
-    ok = {r["check"]: r["passed"] for r in C.check_sort(sort_rows(staff, [("salary", False)]), [("salary", False)]).collect()}
-    assert ok == {"sorted": True}
-    assert C.sort_violations(staff.coalesce(1).orderBy("id"), [("salary", True)]).first()["violations"] == 3
-    after = staff.filter("id <> 1").withColumn("bonus", F.when(F.col("id") == 2, 0.0).otherwise(F.col("bonus")))
-    diff = C.table_diff(staff, after.unionByName(after.filter("id = 3").withColumn("id", F.lit(99))), ["id"]).first()
-    assert (diff["rows_added"], diff["rows_removed"], diff["rows_updated"]) == (1, 1, 1)
-    twice = staff.union(staff.filter("id = 1"))
-    assert C.table_diff(staff, twice).first()["rows_added"] == 1
-    assert dict(values(C.row_changes(staff, twice, ["id"]), "id", "status"))[1] == "updated"
+def test_checks_and_diff(spark, wells):
+    passed = lambda df, sorts: {r["check"]: r["passed"] for r in C.check_sort(df, sorts).collect()}["sorted"]
+    assert passed(sort_rows(wells, [("depth", True)]), [("depth", True)])
+    steps = spark.createDataFrame([(v,) for v in (5, 4, 6, 6, 1, None, 2)], "v int").coalesce(1)
+    assert C.sort_violations(steps, [("v", True)]).first()["violations"] == 3  # 5 4, 6 1, null 2
+    gone, other, more = F.col("id") == 14, F.col("id") == 16, [(21, "Hal", "north", 1.0, "1"), (22, "Ida", "north", 1.0, "1")]
+    after = wells.filter(~gone).withColumn("depth", F.when(other, 34.0).otherwise(F.col("depth"))).unionByName(spark.createDataFrame(more, wells.schema))
+    diff = C.table_diff(wells, after, ["id"]).first()
+    assert (diff["rows_added"], diff["rows_removed"], diff["rows_updated"]) == (2, 1, 1)
+    repeated = wells.union(wells.filter("id in (17, 20)"))
+    assert C.table_diff(wells, repeated).first()["rows_added"] == 2
+    assert {i: s for i, s in values(C.row_changes(wells, repeated, ["id"]), "id", "status") if s != "unchanged"} == {17: "updated", 20: "updated"}
 
 
 def test_sort_check_is_exact(spark):
