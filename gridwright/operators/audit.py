@@ -7,6 +7,8 @@ evaluates once as a scalar subquery.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.cells import cell, col, isnull_blank, mark, num, strip, text
@@ -17,7 +19,9 @@ from ..session import checkpointed
 from ..streaming.guard import batch_only
 from .duplicates import duplicate_rows
 from .findings import finding, quality_score, row_findings
+from .profiling import row_signature
 from .shaping import title_of
+from .skew import join_salted
 from .updates import apply_edits
 
 # Words in a column title that give the column a role.
@@ -209,9 +213,10 @@ def audit_score(df: DataFrame, findings: DataFrame, row_id: str, columns=None) -
 
 
 def recheck(df: DataFrame, old: DataFrame, edits: DataFrame, row_id: str, roles=None, as_of=None) -> DataFrame:
-    """Rows with findings that are clean once the edits are applied.
+    """Rows with findings that are clean by the rules on cells once the edits are applied.
 
-    Only the rows that had findings are looked at again.
+    Only the rows that had such findings are looked at again; :func:`recheck_all`
+    goes through the rules on whole columns and on copies as well.
     """
     batch_only(df, "recheck")
     per_cell = old.filter("row_id is not null and rule not in ('duplicate_row', 'format_mismatch')")
@@ -221,6 +226,78 @@ def recheck(df: DataFrame, old: DataFrame, edits: DataFrame, row_id: str, roles=
     return rows.join(again.select(F.col("row_id").alias(row_id)), row_id, "left_anti")
 
 
+def number_counts(df: DataFrame, columns=None) -> DataFrame:
+    """``column``, ``filled`` and ``numeric``: cells with a value and with a number, for each text column.
+
+    These are the facts the mismatch rule needs. They add up over tables of
+    different rows, so they can be kept with a version of a table and carried on.
+    """
+    batch_only(df, "number_counts")
+    names = [n for n in (columns or df.columns) if isinstance(df.schema[n].dataType, T.StringType)]
+    rows = []
+    for n in names:
+        given = ~isnull_blank(cell(df, n))
+        rows.append(F.struct(F.lit(n).alias("column"), F.count_if(given).alias("filled"), F.count_if(given & num(cell(df, n)).isNotNull()).alias("numeric")))
+    if not rows:
+        return df.sparkSession.createDataFrame([], "column string, filled bigint, numeric bigint")
+    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
+def counts_after(counts: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """``number_counts`` of a table whose rows ``before`` became the rows ``after``, without reading the others."""
+    minus = number_counts(before).select("column", (-F.col("filled")).alias("filled"), (-F.col("numeric")).alias("numeric"))
+    moved = counts.unionByName(minus).unionByName(number_counts(after))
+    return moved.groupBy("column").agg(F.sum("filled").alias("filled"), F.sum("numeric").alias("numeric"))
+
+
+def _copies_after(df: DataFrame, need: DataFrame, after: DataFrame, mine: DataFrame, row_id: str, names: list[str]) -> DataFrame:
+    """Ids of rows of ``mine`` that equal an earlier row of the edited table.
+
+    Only groups that one of these rows is in are looked at: the table's other
+    rows are scanned for their fingerprints, and those of no such group end in
+    the scan's own stage.
+    """
+    def signed(rows: DataFrame) -> DataFrame:
+        blank = reduce(lambda a, b: a & b, [isnull_blank(cell(rows, n)) for n in names])
+        return rows.filter(~blank).select(col(row_id), row_signature(rows, names).alias("_sig"))
+
+    own = checkpointed(signed(mine))
+    wanted = own.select("_sig").distinct()
+    others = signed(df).join(need, row_id, "left_anti").join(wanted, "_sig", "left_semi")
+    changed = signed(after).join(wanted, "_sig", "left_semi").select(*others.columns)
+    first = others.unionByName(changed).groupBy("_sig").agg(F.min(col(row_id)).alias("_first"))
+    return join_salted(own, first, ["_sig"], "inner", col(row_id)).filter(col(row_id) > F.col("_first")).select(row_id)
+
+
+def recheck_all(df: DataFrame, old: DataFrame, edits: DataFrame, row_id: str, roles=None, as_of=None, counts: DataFrame | None = None) -> DataFrame:
+    """Rows with findings that a full audit of the edited table would find clean, by all rules.
+
+    Rules on cells are evaluated again on the rows that had findings. For
+    number columns the counts of the whole table are carried on by the edited
+    rows' differences; ``counts`` are those of ``df`` (:func:`number_counts`),
+    kept from an earlier audit, else one scan finds them. For copies, first
+    rows are found anew in the groups of the rows in question. An edit can
+    free a row it does not touch, when the row that it was a copy of changes.
+    """
+    batch_only(df, "recheck_all")
+    names = [n for n in df.columns if n != row_id]
+    texts = [n for n in names if isinstance(df.schema[n].dataType, T.StringType)]
+    rows = checkpointed(old.filter("row_id is not null").select(F.col("row_id").alias(row_id)).distinct())
+    need = checkpointed(rows.unionByName(edits.select(col(row_id))).distinct())
+    before = checkpointed(df.join(need, row_id, "left_semi"))
+    after = checkpointed(apply_edits(before, edits, row_id))
+    mine = after.join(rows, row_id, "left_semi").select(*[col(c) for c in df.columns])
+    dirty = [audit(mine, row_id, roles, as_of=as_of, mismatches=False, duplicates=False).select(F.col("row_id").alias(row_id))]
+    if texts:
+        now = counts_after(number_counts(df, names) if counts is None else counts, before, after)
+        mostly = (F.col("filled") >= 5) & (F.col("numeric") * 2 > F.col("filled"))
+        facts = now.agg(F.struct(*[F.coalesce(F.bool_or(F.when(F.col("column") == n, mostly)), F.lit(False)).alias(f"m{i}") for i, n in enumerate(texts)]))
+        marked = mine.withColumn("_mostly", facts.scalar())
+        dirty.append(row_findings(marked, row_id, mismatch_items(mine, texts)).select(F.col("row_id").alias(row_id)))
+    dirty.append(_copies_after(df, need, after, mine, row_id, names))
+    return rows.join(reduce(lambda a, b: a.unionByName(b), dirty).distinct(), row_id, "left_anti").join(after.select(col(row_id)), row_id, "left_semi")
+
+
 def convert_cn_numbers(df: DataFrame, columns) -> DataFrame:
     """Chinese numerals to numbers in columns that mostly hold numbers; other cells are kept."""
     batch_only(df, "convert_cn_numbers")

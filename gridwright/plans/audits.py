@@ -113,6 +113,24 @@ def audit_recheck_after_edits(t):
     return A.recheck(c, old, edits, "c_custkey", ROLES, AS_OF)
 
 
+STOCK = """stock AS (SELECT c_custkey, 'bin ' || (c_custkey % 61) AS bin,
+    CASE WHEN c_custkey % 90 = 7 THEN 'many' ELSE (c_custkey % 4)::VARCHAR END AS pieces FROM customer),
+  edited AS (SELECT c_custkey, bin, CASE WHEN c_custkey % 90 = 7 AND c_custkey % 4 > 0 THEN '2' WHEN c_custkey < 200 THEN 'n' || c_custkey ELSE pieces END AS pieces FROM stock)"""
+DIRTY = """SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (PARTITION BY bin, pieces ORDER BY c_custkey) AS n, try_cast(pieces AS DOUBLE) IS NULL AS word FROM {}) WHERE n > 1 OR word"""
+
+
+@query(f"WITH {STOCK} {DIRTY.format('stock')} EXCEPT {DIRTY.format('edited')}")
+def audit_recheck_whole(t):
+    """Words among numbers are corrected and first copies changed; rows that were copies of those alone are clean, too."""
+    key = F.col("c_custkey")
+    pieces = F.when(key % 90 == 7, "many").otherwise((key % 4).cast("string"))
+    stock = t.customer.select("c_custkey", F.concat(F.lit("bin "), (key % 61).cast("string")).alias("bin"), pieces.alias("pieces"))
+    value = F.when((key % 90 == 7) & (key % 4 > 0), "2").when(key < 200, F.concat(F.lit("n"), key.cast("string")))
+    edits = stock.select("c_custkey", F.lit("pieces").alias("column"), value.alias("value")).filter("value is not null")
+    old = A.audit(stock, "c_custkey", {}, as_of=AS_OF)
+    return A.recheck_all(stock, old, edits, "c_custkey", {}, AS_OF, counts=A.number_counts(stock, ["bin", "pieces"]))
+
+
 @query(f"WITH {CONTACTS} SELECT c_custkey, CASE WHEN points = '三百二十' THEN '320' ELSE points END AS points FROM contacts")
 def audit_convert_numerals(t):
     return A.convert_cn_numbers(contacts(t).select("c_custkey", "points"), ["points"])

@@ -329,6 +329,31 @@ def test_audit(frame):
     assert fixed[1][0] == "1200" and fixed[3] == ("7", "a @b.c", "3")
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_recheck_of_all_rules_equals_a_full_audit(spark, seed):
+    """Random edits make and break copies, and tip a column to numbers or away from them."""
+    rng = random.Random(seed)
+    cell = lambda: rng.choice(["1", "2", "3", "x", "", "三", "a@b", None])
+    rows = [(i, cell(), rng.choice(["1", "2", "w"]), cell()) for i in range(60)]
+    schema = "id int, a string, b string, email string"
+    edits = [(rng.randrange(70), rng.choice(["a", "b", "email"]), cell() or "9") for _ in range(35)]
+    edits = list({(i, c): (i, c, v) for i, c, v in edits}.values())
+    df, changes = spark.createDataFrame(rows, schema), spark.createDataFrame(edits, "id int, column string, value string")
+    old = A.audit(df, "id")
+    dirty = {r.row_id for r in A.audit(apply_edits(df, changes, "id"), "id").collect()}
+    want = {r.row_id for r in old.collect()} - dirty
+    assert {r.id for r in A.recheck_all(df, old, changes, "id").collect()} == want
+    kept = A.number_counts(df, ["a", "b", "email"])
+    assert {r.id for r in A.recheck_all(df, old, changes, "id", counts=kept).collect()} == want
+
+
+def test_counts_are_carried_on_by_edits(frame):
+    before, after = frame([("1", 1), ("x", 2), ("", 3)], "v string, n int"), frame([("2", 1), ("3", 2), (None, 3)], "v string, n int")
+    whole = frame([("column", 9, 4)], "column string, filled bigint, numeric bigint").replace("column", "v")
+    assert A.counts_after(whole, before, after).collect() == [("v", 9, 5)]
+    assert A.number_counts(before.select("n")).collect() == []
+
+
 def test_perfect_score(frame):
     df = frame([(i, str(i)) for i in range(5)], "id int, v string")
     assert A.audit_score(df, A.audit(df, "id", {}), "id").first()[:] == (100.0, "优秀")
