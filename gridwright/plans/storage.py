@@ -32,6 +32,14 @@ def csv_round_trip_texts(t):
     return read_csv(t.spark, path).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+@query("SELECT doc_id::VARCHAR AS doc_id, lang, md5(text) AS digest FROM documents")
+def csv_split_texts(t):
+    """One file of texts with quotes and line breaks, read by as many tasks as it has blocks."""
+    path = _fresh(t, "one-file")
+    write_table(t.documents.select("doc_id", "text", "lang").repartition(1), path, "csv")
+    return read_csv(t.spark, path, split=True).select("doc_id", "lang", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS name FROM customer")
 def json_round_trip(t):
     path = _fresh(t, "json")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.cells import cell, col, isnull_empty, num, parse_date
 from ..operators.shaping import title_of, with_titles
 from ..streaming.guard import batch_only
+from .csv_splits import read_split_csv
 
 KEY_CHARACTERS = r"[^A-Za-z0-9一-鿿]"
 # Marks missing fields while reading, so that a quoted empty field stays empty text.
@@ -36,18 +37,23 @@ def name_columns(df: DataFrame, headers: list[str | None]) -> DataFrame:
     return with_titles(df.toDF(*keys), dict(zip(keys, titles)))
 
 
-def read_csv(spark: SparkSession, path, header: bool = True, multiline: bool = True, infer: bool = False, **options) -> DataFrame:
+def read_csv(spark: SparkSession, path, header: bool = True, multiline: bool = True, infer: bool = False, split: bool = False, **options) -> DataFrame:
     """Text table; every cell is text unless ``infer`` is set.
 
-    Quoted line breaks are read by default, which keeps one file in one task;
-    ``multiline=False`` splits large files that have none.
+    Quoted line breaks are read by default, which keeps one file in one task.
+    ``split=True`` reads them by as many tasks as a file has blocks, for cells
+    quoted as :func:`write_table` does; other ``options`` do not go with it.
+    ``multiline=False`` splits files that have no such cells.
     """
+    if split and options:
+        raise ValueError(f"split reading takes no options: {sorted(options)}")
+    own = {"escape": '"', "nullValue": MISSING}
     raw = (
-        spark.read.option("header", header).option("multiLine", multiline).option("escape", '"')
-        .option("inferSchema", False).option("nullValue", MISSING).options(**options).csv(path)
+        spark.read.option("header", header).option("multiLine", multiline).option("inferSchema", False)
+        .options(**own).options(**options).csv(path)
     )
     headers = [None if re.fullmatch(rf"_c{i}", n) else n for i, n in enumerate(raw.columns)]
-    df = name_columns(raw, headers)
+    df = name_columns(read_split_csv(spark, path, raw.columns, header, own) if split else raw, headers)
     return infer_and_cast(df) if infer else df
 
 

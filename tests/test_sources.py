@@ -112,3 +112,53 @@ def test_whole_table_operators_refuse_streams(spark, tmp_path):
     for op in (lambda: sort_rows(stream, [("id", True)]), lambda: aggregate(stream, [("id", "SUM")])):
         with pytest.raises(BatchOnly):
             op()
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """Files are read in blocks of a few bytes, so that every record crosses block ends somewhere."""
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    yield lambda n: spark.conf.set("spark.sql.files.maxPartitionBytes", str(n))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+CELLS = ["plain", "", None, 'say "hi"', "two\nlines", '"', '\n', "a,b", 'x"\n\n"y', "é\n中文", " edge ", "long " * 40, "\n".join("line" for _ in range(30))]
+
+
+@pytest.mark.parametrize("block", [7, 64, 500, 1 << 20])
+def test_split_reading_equals_whole_files(spark, tmp_path, small_blocks, block):
+    import random
+
+    rng = random.Random(block)
+    rows = [(i, rng.choice(CELLS), rng.choice(CELLS)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, a string, b string")
+    write_table(df.repartition(3, "id"), f"{tmp_path}/t", "csv")
+    whole = sorted(map(tuple, read_csv(spark, f"{tmp_path}/t").collect()), key=str)
+    assert len(whole) == len(rows)
+    small_blocks(block)
+    out = read_csv(spark, f"{tmp_path}/t", split=True)
+    assert out.columns == ["id", "a", "b"]
+    assert sorted(map(tuple, out.collect()), key=str) == whole
+
+
+def test_split_reading_of_plain_files(spark, tmp_path, small_blocks):
+    """Line ends of both kinds, empty lines, short rows, no last line end, files with a header only."""
+    (tmp_path / "a.csv").write_bytes(b'k,v\r\n1,x\r\n\r\n2,"y ""q"" z"\r\n3\r\n4,last')
+    (tmp_path / "b.csv").write_bytes(b"k,v\n5,\n\n6,w\n")
+    (tmp_path / "c.csv").write_bytes(b"k,v\n")
+    small_blocks(5)
+    want = {("1", "x"), ("2", 'y "q" z'), ("3", None), ("4", "last"), ("5", None), ("6", "w")}
+    got = read_csv(spark, str(tmp_path), split=True)
+    assert set(map(tuple, got.collect())) == want == set(map(tuple, read_csv(spark, str(tmp_path)).collect()))
+    bare = read_csv(spark, str(tmp_path / "b.csv"), header=False, split=True)
+    assert sorted(map(tuple, bare.collect()), key=str) == sorted([("k", "v"), ("5", None), ("6", "w")], key=str)
+    with pytest.raises(ValueError):
+        read_csv(spark, str(tmp_path), split=True, sep=";")
+
+
+def test_split_reading_uses_many_tasks(spark, tmp_path, small_blocks):
+    write_table(spark.range(4000).selectExpr("id", "concat('a', chr(10), id) AS v").repartition(1), f"{tmp_path}/one", "csv")
+    small_blocks(4096)
+    out = read_csv(spark, f"{tmp_path}/one", split=True)
+    assert out.rdd.getNumPartitions() >= 8 and read_csv(spark, f"{tmp_path}/one").rdd.getNumPartitions() == 1
+    assert out.count() == 4000 and out.filter("v = concat('a', chr(10), id)").count() == 4000
