@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.cells import cell, col, isnull_empty, text, tidy_total
+from ..session import checkpointed
 from ..streaming.guard import batch_only
 from .aggregates import METHODS, numeric_cell
 
@@ -57,10 +58,12 @@ def pivot_table(df: DataFrame, rows, values: str, agg: str, columns: str | None
                 max_columns: int | None = None, null_as_zero: bool = False) -> DataFrame:
     """Group by the row fields, with one ``_pvt_<value>`` column per value of the column field.
 
-    The table is scanned once into partial aggregates per (rows, column value);
-    the cross-tab and its totals row are both built from those, so totals come
-    from the source rows and not from rounded cells. ``max_columns`` refuses
-    wider results where the caller sets it; ``pivot_cells`` has no width.
+    The table is scanned once into partial aggregates per (rows, column value),
+    which are checkpointed; the column values, the cross-tab and its totals row
+    all come from those, so totals come from the source rows and not from
+    rounded cells. The driver gets one name per column of the result, as the
+    schema needs it; ``max_columns`` refuses wider results where the caller
+    sets it, and ``pivot_cells`` has no width.
     """
     batch_only(df, "pivot_table")
     if agg not in METHODS:
@@ -71,13 +74,12 @@ def pivot_table(df: DataFrame, rows, values: str, agg: str, columns: str | None
         out = cells.groupBy(*[col(r) for r in rows]).agg(_cell(agg).alias(values))
         return out.fillna(0.0, [values])
 
-    label = _label(df, columns)
-    labels = df.select(label.alias("v")).distinct()
+    cells = checkpointed(df.groupBy(*[col(r) for r in rows], _label(df, columns).alias("_label")).agg(*parts))
+    labels = cells.select(F.col("_label").alias("v")).distinct()
     found = (labels.limit(max_columns + 1) if max_columns else labels).collect()
     if max_columns and len(found) > max_columns:
         raise TooManyColumns(f"{columns} has more than {max_columns} distinct values")
     names = sorted(r["v"] for r in found)
-    cells = df.groupBy(*[col(r) for r in rows], label.alias("_label")).agg(*parts)
 
     def spread(grouped) -> DataFrame:
         wide = grouped.pivot("_label", names).agg(_cell(agg))

@@ -418,3 +418,14 @@ def test_tall_pivot_has_no_width(spark):
     df = spark.range(3000).selectExpr("id % 2 AS r", "cast(id AS string) AS c", "cast(id AS double) AS v")
     got = pivot_cells(df, ["r"], "v", "SUM", "c")
     assert got.count() == 3000 and got.agg({"value": "sum"}).first()[0] == 2999 * 1500.0
+
+
+def test_cross_tab_scans_its_table_once(spark, tmp_path):
+    """Column values, cells and totals come from one checkpointed aggregate."""
+    df = spark.range(400).selectExpr("cast(id % 3 AS string) AS r", "cast(id % 7 AS string) AS c", "cast(id AS double) AS v")
+    df.write.parquet(f"{tmp_path}/t")
+    out = pivot_table(spark.read.parquet(f"{tmp_path}/t"), ["r"], "v", "MAX", "c")
+    assert "FileScan" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["r"]: [r[f"_pvt_{c}"] for c in range(7)] for r in out.collect()}
+    want = {str(r): [float(max(i for i in range(400) if i % 3 == r and i % 7 == c)) for c in range(7)] for r in range(3)}
+    assert got == {**want, "合计": [float(max(i for i in range(400) if i % 7 == c)) for c in range(7)]}

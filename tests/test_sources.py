@@ -114,6 +114,31 @@ def test_whole_table_operators_refuse_streams(spark, tmp_path):
             op()
 
 
+def test_concurrent_writers_lose_no_version(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "v")
+    first = write_version(spark.range(1), root, "load")
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda n: write_version(spark.range(n), root, f"take {n}", first), range(2, 14)))
+    assert sorted(numbers) == list(range(2, 14))
+    listed = {r["version"]: (r["label"], r["operation"], r["parent"]) for r in versions(spark, root).collect()}
+    assert sorted(label for label, *_ in listed.values()) == sorted(["1", *(f"1.{i}" for i in range(1, 13))])
+    for n, number in zip(range(2, 14), numbers):
+        assert listed[number][1:] == (f"take {n}", first) and read_version(spark, root, number).count() == n
+    with pytest.raises(ValueError):
+        read_version(spark, root, 99)
+
+
+def test_versions_of_earlier_manifests_are_read(spark, tmp_path):
+    root = str(tmp_path / "v")
+    spark.range(5).write.parquet(f"{root}/v1")
+    (tmp_path / "v" / "_manifest").mkdir()
+    (tmp_path / "v" / "_manifest" / "part-0.json").write_text('{"version": 1, "label": "1", "operation": "load", "created": "2025-01-01"}')
+    assert write_version(spark.range(2), root, "filter", 1) == 2
+    assert [read_version(spark, root, v).count() for v in (1, 2)] == [5, 2]
+
+
 @pytest.fixture
 def small_blocks(spark):
     """Files are read in blocks of a few bytes, so that every record crosses block ends somewhere."""
