@@ -219,8 +219,8 @@ def compare(a: Column, b: Column, op: str) -> Column:
     f = ops[op]
     if kind_of(a) in (DOUBLE, EXACT) and kind_of(b) in (DOUBLE, EXACT):
         return f(num(a), num(b))
-    na, nb = num(a), num(b)
-    return F.when(na.isNotNull() & nb.isNotNull(), f(na, nb)).otherwise(f(text(a), text(b)))
+    # Null exactly where one side is no number, so each number is read once.
+    return F.coalesce(f(num(a), num(b)), f(text(a), text(b)))
 
 
 # --- dates ------------------------------------------------------------------

@@ -46,10 +46,12 @@ def clean(df: DataFrame, numeric=(), subset=None, columns=None) -> DataFrame:
     names = list(columns or df.columns)
     out = df.withColumns({n: num(cell(df, n)) for n in numeric})
     out = blank_to_null(out, [n for n in names if n not in numeric])
+    # Cells are read once: filters are not pushed through a generator with their whole expressions.
+    out = out.select(F.inline(F.array(F.struct(*[col(n) for n in out.columns]))))
     if subset:
         out = out.dropna(how="all", subset=list(subset))
-    out = out.dropna(how="all", subset=names)
-    return drop_null_like(out, names)
+    out = drop_null_like(out.dropna(how="all", subset=names), names)
+    return out.select([col(n).alias(n, metadata=df.schema[n].metadata or {}) for n in df.columns])
 
 
 def clean_counts(df: DataFrame, numeric=(), subset=None, columns=None) -> DataFrame:

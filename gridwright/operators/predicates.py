@@ -70,8 +70,8 @@ def _ordered(c: Column, dtype: T.DataType, op: str, v) -> Column:
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return apply(c, F.lit(v).cast(dtype))
     if _is_number(v):
-        n = num(c)
-        return F.when(n.isNotNull(), apply(n, F.lit(float(v)))).otherwise(apply(c, F.lit(str(v))))
+        # The comparison is null exactly where the cell is no number, so the number is read once.
+        return F.coalesce(apply(num(c), F.lit(float(v))), apply(c, F.lit(str(v))))
     return apply(c, F.lit(str(v)))
 
 

@@ -99,6 +99,14 @@ def fx_date_parts(t):
     return rows.select("o_orderkey", fx.year("day").alias("y"), fx.month("day").alias("m"), fx.day("day").alias("d"), fx.year("o_orderdate", kind="date").alias("typed_y"))
 
 
+@query("""SELECT o_orderkey, 10 AS width, true AS later, floor(abs(datediff('day', o_orderdate::DATE, DATE '2026-07-01')) / 365)::INT AS years_to_date FROM orders""")
+def fx_today(t):
+    """Today is a text of ten characters behind every order; a given date takes its place where results must repeat."""
+    rows = t.orders.select("o_orderkey", F.col("o_orderdate").cast("date").cast("string").alias("day"))
+    return rows.select("o_orderkey", F.char_length(fx.today()).alias("width"), (fx.today() > F.col("day")).alias("later"),
+                       fx.years_between("day", as_of="2026-07-01").alias("years_to_date"))
+
+
 @query("""SELECT o_orderkey, floor(abs(datediff('day', o_orderdate::DATE, DATE '2026-07-01')) / 365)::INT AS years,
             floor(abs(datediff('day', o_orderdate::DATE, l.d)) / 365)::INT AS to_last FROM orders, (SELECT max(o_orderdate)::DATE AS d FROM orders) l""")
 def fx_years_between(t):
