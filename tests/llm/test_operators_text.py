@@ -108,6 +108,34 @@ def test_lines_in_parts(sheet, corpus, monkeypatch):
     assert {r.row_id: list(r.removed_lines) for r in repeated_lines(sheet(corpus)).collect()} == brute.removed_lines(list(enumerate(corpus)))
 
 
+def test_lines_in_many_places(sheet, corpus, monkeypatch):
+    monkeypatch.setattr(line_module, "BATCH_POSTINGS", 7)
+    monkeypatch.setattr(line_module, "BLOCK_LINES", 4)
+    long = [" ".join(f"w{(i * k) % 997}" for i in range(1, 150)) for k in (3, 5, 7)]
+    texts = corpus + long + [t + " more words" for t in long]
+    got = {r.row_id: list(r.removed_lines) for r in repeated_lines(sheet(texts), least_tokens=1).collect()}
+    assert got == brute.removed_lines(list(enumerate(texts)), least=1)
+    assert [got[len(corpus) + i] for i in range(6)] == [[], [], [], [0], [0], [0]]
+
+
+def test_order_of_tokens_and_their_cells():
+    rng = np.random.default_rng(5)
+    rank = line_module.by_rarity(rng.integers(0, 9, line_module.BUCKETS))
+    # Words that differ in low bits only are ordered, too.
+    words = (rng.integers(0, 1 << 12, 5000).astype(np.uint64) << np.uint64(50)) + rng.integers(0, 3, 5000).astype(np.uint64)
+    line = np.sort(rng.integers(0, 40, 5000))
+    for r in (rank, None):
+        order = line_module._token_order(line, words, 1 << 20, r)
+        ranks = np.zeros(5000, np.uint64) if r is None else r[line_module.bucket_of(words)]
+        want = np.lexsort((words, ranks, line))
+        assert (words[order] == words[want]).all() and (line[order] == line[want]).all()
+    lengths = np.array([0, 3, 0, 2])
+    cells = line_module._packed(words[:5], lengths)
+    for part, tokens, n in ((cells, words[:5], lengths), (cells.slice(1), words[:5], lengths[1:]), (cells.slice(2), words[3:5], lengths[2:]), (cells.slice(4), words[:0], lengths[4:])):
+        got = line_module._unpacked(part)
+        assert got[0].tolist() == tokens.tolist() and got[1].tolist() == n.tolist()
+
+
 def test_lines_of_any_length(sheet, corpus):
     short = ["Menu\nHome page\nA title", "menu\nHOME  page\na b c d", "a b c d e\ntitle a\n" + "word " * 40, "word\n\na b c e\nb c d a\na b c"]
     texts = corpus + short
