@@ -126,6 +126,14 @@ def norm_key(c) -> Column:
     return mark(F.lower(F.translate(text(c), FULL_WIDTH + SPACES, HALF_WIDTH)), TEXT)
 
 
+def all_of(conds: list[Column]) -> Column:
+    """All conditions hold; a tree of little depth, so that conditions on hundreds of columns can be planned."""
+    if len(conds) == 1:
+        return conds[0]
+    half = len(conds) // 2
+    return all_of(conds[:half]) & all_of(conds[half:])
+
+
 # --- the four meanings of "no value" ---------------------------------------
 
 def isnull_strict(c) -> Column:

@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.cells import cell, col, isnull_blank, mark, num, strip, text
+from ..functions.cells import all_of, cell, col, isnull_blank, mark, num, strip, text
 from ..functions.standardize import (
     cn_number_text, date_valid, email_fixed, email_valid, id_card_acceptable, phone_valid, without_spaces,
 )
@@ -101,54 +101,63 @@ def _amount(n: str, raw: Column, given: Column) -> list[Column]:
     ]
 
 
-def _mostly_numbers(df: DataFrame, names: list[str]) -> DataFrame:
-    """One row: for each text column, whether it has at least 5 values and more than half are numbers."""
-    parts = []
-    for i, n in enumerate(names):
-        given = ~isnull_blank(cell(df, n))
-        filled, numeric = F.count_if(given), F.count_if(given & num(cell(df, n)).isNotNull())
-        parts.append(((filled >= 5) & (numeric * 2 > filled)).alias(f"m{i}"))
-    return df.agg(F.struct(*parts))
+def long_cells(df: DataFrame, row_id: str, names: list[str]) -> DataFrame:
+    """``row_id``, ``column`` and ``cell``: a row for each cell of columns that have one type."""
+    pairs = [F.struct(F.lit(n).alias("column"), col(n).alias("cell")) for n in names]
+    return df.select(col(row_id).alias("row_id"), F.inline(F.array(*pairs)))
+
+
+def _by_type(df: DataFrame, names: list[str]) -> list[list[str]]:
+    groups: dict[str, list[str]] = {}
+    for n in names:
+        groups.setdefault(df.schema[n].dataType.json(), []).append(n)
+    return list(groups.values())
 
 
-def anomaly_items(df: DataFrame, roles: dict[str, list[str]], as_of=None) -> list[Column]:
-    """Findings expressions for the columns with a role; row-local, so usable on streams."""
+def _texts(df: DataFrame, names) -> list[str]:
+    return [n for n in names if isinstance(df.schema[n].dataType, T.StringType)]
+
+
+def cell_items(long: DataFrame, roles: dict[str, list[str]], as_of=None, blanks: bool = True) -> list[Column]:
+    """Findings expressions on the cells of :func:`long_cells`, by the role of their column; usable on streams.
+
+    Every rule stands in the plan once, however many columns have its role.
+    """
     today = F.lit(as_of).cast("date") if as_of is not None else F.current_date()
-    items: list[Column] = []
-    for n in df.columns:
-        dtype = df.schema[n].dataType
-        mine = [r for r, names in roles.items() if n in names]
-        if not mine:
+    dtype, c, n = long.schema["cell"].dataType, cell(long, "cell"), F.col("column")
+    raw, given = strip(text(c)), ~isnull_blank(c)
+    items = [finding(~given, n, "blank_cell", detail="no value")] if blanks else []
+    for role, names in roles.items():
+        if not names:
             continue
-        raw = strip(text(cell(df, n)))
-        given = ~isnull_blank(cell(df, n))
-        if "phone" in mine:
-            items += _phone(n, raw, given)
-        if "id_card" in mine:
-            items += _id_card(n, raw, given)
-        if "email" in mine:
-            items += _email(n, raw, given)
-        if "date" in mine:
-            if isinstance(dtype, _TEMPORAL):
-                items.append(finding(col(n).cast("date") > today, n, "date_future", detail="after the current date", original=raw))
-            else:
-                items += _date(n, raw, given, today)
-        if "amount" in mine:
-            if isinstance(dtype, T.NumericType):
-                items.append(finding(num(cell(df, n)) < 0, n, "amount_negative", detail="negative amount", original=raw))
-            else:
-                items += _amount(n, raw, given)
+        mine = n.isin(*names)
+        if role == "phone":
+            items += _phone(n, raw, mine & given)
+        elif role == "id_card":
+            items += _id_card(n, raw, mine & given)
+        elif role == "email":
+            items += _email(n, raw, mine & given)
+        elif role == "date" and isinstance(dtype, _TEMPORAL):
+            items.append(finding(mine & (c.cast("date") > today), n, "date_future", detail="after the current date", original=raw))
+        elif role == "date":
+            items += _date(n, raw, mine & given, today)
+        elif role == "amount" and isinstance(dtype, T.NumericType):
+            items.append(finding(mine & (num(c) < 0), n, "amount_negative", detail="negative amount", original=raw))
+        elif role == "amount":
+            items += _amount(n, raw, mine & given)
     return items
 
 
-def _breaks(df: DataFrame, n: str, facts: str, i: int) -> Column:
-    """Whether a cell breaks a column that mostly holds numbers."""
-    return F.col(facts)[f"m{i}"] & ~isnull_blank(cell(df, n)) & num(cell(df, n)).isNull()
+def _mostly(counts: DataFrame) -> DataFrame:
+    """Columns of :func:`number_counts` with at least 5 values of which more than half are numbers."""
+    return counts.filter((F.col("filled") >= 5) & (F.col("numeric") * 2 > F.col("filled"))).select("column")
 
 
-def mismatch_items(df: DataFrame, names: list[str], facts: str = "_mostly") -> list[Column]:
-    """Text cells in columns that mostly hold numbers; ``facts`` is the struct column of column facts."""
-    return [finding(_breaks(df, n, facts, i), n, "format_mismatch", original=strip(cell(df, n))) for i, n in enumerate(names)]
+def mismatches_in(df: DataFrame, row_id: str, names: list[str], counts: DataFrame) -> DataFrame:
+    """Text cells in columns that mostly hold numbers by ``counts``, which has a row per column and so may be broadcast."""
+    long = long_cells(df, row_id, names).join(F.broadcast(_mostly(counts)), "column", "left_semi")
+    c = cell(long, "cell")
+    return row_findings(long, "row_id", [finding(~isnull_blank(c) & num(c).isNull(), F.col("column"), "format_mismatch", original=strip(c))])
 
 
 def _spelt_out(found: DataFrame) -> DataFrame:
@@ -164,10 +173,6 @@ def _spelt_out(found: DataFrame) -> DataFrame:
     return read.withColumns(changed).drop("_spelt")
 
 
-def blank_items(df: DataFrame, names) -> list[Column]:
-    return [finding(isnull_blank(cell(df, n)), n, "blank_cell", detail="no value") for n in names]
-
-
 def audit(df: DataFrame, row_id: str, roles: dict[str, list[str]] | None = None, columns=None, as_of=None,
           blanks: bool = True, anomalies: bool = True, mismatches: bool = True, duplicates: bool = True) -> DataFrame:
     """Findings of a full audit; each part can be switched off.
@@ -177,23 +182,19 @@ def audit(df: DataFrame, row_id: str, roles: dict[str, list[str]] | None = None,
     """
     batch_only(df, "audit")
     names = [n for n in (columns or df.columns) if n != row_id]
-    roles = roles_by_title(df) if roles is None else roles
-    items: list[Column] = []
-    source = df
-    if blanks:
-        items += blank_items(df, names)
-    if anomalies:
-        items += anomaly_items(df, {r: [c for c in cs if c in names] for r, cs in roles.items()}, as_of)
-    texts = [n for n in names if isinstance(df.schema[n].dataType, T.StringType)]
-    if mismatches and texts:
-        source = df.withColumn("_mostly", _mostly_numbers(df, texts).scalar())
-        items += mismatch_items(df, texts)
-    found = row_findings(source, row_id, items)
+    roles = (roles_by_title(df) if roles is None else roles) if anomalies else {}
+    parts = []
+    for group in _by_type(df, names):
+        long = long_cells(df, row_id, group)
+        items = cell_items(long, {r: [c for c in cs if c in group] for r, cs in roles.items()}, as_of, blanks)
+        if items:
+            parts.append(row_findings(long, "row_id", items))
+    texts = _texts(df, names)
     if mismatches and texts:
-        found = _spelt_out(found)
+        parts.append(_spelt_out(mismatches_in(df, row_id, texts, number_counts(df, texts))))
     if duplicates:
-        found = found.unionByName(duplicate_findings(df, row_id, names))
-    return found
+        parts.append(duplicate_findings(df, row_id, names))
+    return reduce(lambda a, b: a.unionByName(b), parts) if parts else row_findings(df, row_id, [])
 
 
 def duplicate_findings(df: DataFrame, row_id: str, keys=None) -> DataFrame:
@@ -233,14 +234,15 @@ def number_counts(df: DataFrame, columns=None) -> DataFrame:
     different rows, so they can be kept with a version of a table and carried on.
     """
     batch_only(df, "number_counts")
-    names = [n for n in (columns or df.columns) if isinstance(df.schema[n].dataType, T.StringType)]
-    rows = []
-    for n in names:
-        given = ~isnull_blank(cell(df, n))
-        rows.append(F.struct(F.lit(n).alias("column"), F.count_if(given).alias("filled"), F.count_if(given & num(cell(df, n)).isNotNull()).alias("numeric")))
-    if not rows:
-        return df.sparkSession.createDataFrame([], "column string, filled bigint, numeric bigint")
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    names = _texts(df, columns or df.columns)
+    none = df.sparkSession.createDataFrame([(n, False, False) for n in names], "column string, filled boolean, numeric boolean")
+    if not names:
+        return none.groupBy("column").agg(F.count_if("filled").alias("filled"), F.count_if("numeric").alias("numeric"))
+    long = long_cells(df, names[0], names)
+    c = cell(long, "cell")
+    given = ~isnull_blank(c)
+    seen = long.select("column", given.alias("filled"), (given & num(c).isNotNull()).alias("numeric")).unionByName(none)
+    return seen.groupBy("column").agg(F.count_if("filled").alias("filled"), F.count_if("numeric").alias("numeric"))
 
 
 def counts_after(counts: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
@@ -258,7 +260,7 @@ def _copies_after(df: DataFrame, need: DataFrame, after: DataFrame, mine: DataFr
     the scan's own stage.
     """
     def signed(rows: DataFrame) -> DataFrame:
-        blank = reduce(lambda a, b: a & b, [isnull_blank(cell(rows, n)) for n in names])
+        blank = all_of([isnull_blank(cell(rows, n)) for n in names])
         return rows.filter(~blank).select(col(row_id), row_signature(rows, names).alias("_sig"))
 
     own = checkpointed(signed(mine))
@@ -281,7 +283,7 @@ def recheck_all(df: DataFrame, old: DataFrame, edits: DataFrame, row_id: str, ro
     """
     batch_only(df, "recheck_all")
     names = [n for n in df.columns if n != row_id]
-    texts = [n for n in names if isinstance(df.schema[n].dataType, T.StringType)]
+    texts = _texts(df, names)
     rows = checkpointed(old.filter("row_id is not null").select(F.col("row_id").alias(row_id)).distinct())
     need = checkpointed(rows.unionByName(edits.select(col(row_id))).distinct())
     before = checkpointed(df.join(need, row_id, "left_semi"))
@@ -290,10 +292,7 @@ def recheck_all(df: DataFrame, old: DataFrame, edits: DataFrame, row_id: str, ro
     dirty = [audit(mine, row_id, roles, as_of=as_of, mismatches=False, duplicates=False).select(F.col("row_id").alias(row_id))]
     if texts:
         now = counts_after(number_counts(df, names) if counts is None else counts, before, after)
-        mostly = (F.col("filled") >= 5) & (F.col("numeric") * 2 > F.col("filled"))
-        facts = now.agg(F.struct(*[F.coalesce(F.bool_or(F.when(F.col("column") == n, mostly)), F.lit(False)).alias(f"m{i}") for i, n in enumerate(texts)]))
-        marked = mine.withColumn("_mostly", facts.scalar())
-        dirty.append(row_findings(marked, row_id, mismatch_items(mine, texts)).select(F.col("row_id").alias(row_id)))
+        dirty.append(mismatches_in(mine, row_id, texts, now).select(F.col("row_id").alias(row_id)))
     dirty.append(_copies_after(df, need, after, mine, row_id, names))
     return rows.join(reduce(lambda a, b: a.unionByName(b), dirty).distinct(), row_id, "left_anti").join(after.select(col(row_id)), row_id, "left_semi")
 
@@ -302,8 +301,10 @@ def convert_cn_numbers(df: DataFrame, columns) -> DataFrame:
     """Chinese numerals to numbers in columns that mostly hold numbers; other cells are kept."""
     batch_only(df, "convert_cn_numbers")
     names = list(columns)
-    marked = df.withColumn("_mostly", _mostly_numbers(df, names).scalar())
-    changed = {
-        n: F.coalesce(F.when(_breaks(df, n, "_mostly", i), cn_number_text(cell(df, n))), col(n)) for i, n in enumerate(names)
-    }
-    return marked.withColumns(changed).drop("_mostly")
+    facts = _mostly(number_counts(df, names)).agg(F.collect_set("column"))
+    changed = {}
+    for n in _texts(df, names):
+        c = cell(df, n)
+        breaks = F.array_contains("_mostly", n) & ~isnull_blank(c) & num(c).isNull()
+        changed[n] = F.coalesce(F.when(breaks, cn_number_text(c)), col(n))
+    return df.withColumn("_mostly", facts.scalar()).withColumns(changed).drop("_mostly")

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.cells import cell, col, isnull_blank
+from ..functions.cells import all_of, cell, col, isnull_blank
 from ..streaming.guard import batch_only
 from .profiling import row_signature
 from .skew import join_salted
@@ -22,7 +20,7 @@ def duplicate_rows(df: DataFrame, row_id: str, keys=None) -> DataFrame:
     """
     batch_only(df, "duplicate_rows")
     names = list(keys) if keys else [n for n in df.columns if n != row_id]
-    blank = reduce(lambda a, b: a & b, [isnull_blank(cell(df, n)) for n in names])
+    blank = all_of([isnull_blank(cell(df, n)) for n in names])
     marked = df.filter(~blank).select(col(row_id), row_signature(df, names).alias("_sig"))
     groups = marked.groupBy("_sig").agg(F.min(col(row_id)).alias("duplicate_of"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     joined = join_salted(marked, groups.drop("_n"), ["_sig"], "inner", col(row_id), counts=groups)

@@ -7,12 +7,11 @@ it takes part in inference and in the findings.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.cells import DOUBLE, EXACT, cell, col, isnull_blank, isnull_empty, kind_of, num, parse_date, round_half_up, strip, text
+from ..functions.cells import DOUBLE, EXACT, all_of, cell, col, isnull_blank, isnull_empty, kind_of, num, parse_date, round_half_up, strip, text
 from ..functions.standardize import (
     DATE_EXACT, DATE_HEAD, amount_bare, amount_valid, amount_value, date_valid, email_valid, id_card_birth,
     id_card_valid, numeric_valid, phone_digits, phone_valid, without_spaces,
@@ -277,7 +276,7 @@ def run_rules(df: DataFrame, row_id: str, mappings) -> DataFrame:
 # --- general rules ---------------------------------------------------------------------
 
 def blank_row_item(df: DataFrame, names) -> Column:
-    every = reduce(lambda a, b: a & b, [isnull_blank(cell(df, n)) for n in names])
+    every = all_of([isnull_blank(cell(df, n)) for n in names])
     return finding(every, None, "blank_row", detail="no value in the row")
 
 

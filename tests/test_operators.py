@@ -1,9 +1,10 @@
 """Operators on small literal tables."""
 
+import collections
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from gridwright.operators import audit as A
 from gridwright.operators import checks as C
@@ -429,3 +430,29 @@ def test_cross_tab_scans_its_table_once(spark, tmp_path):
     got = {r["r"]: [r[f"_pvt_{c}"] for c in range(7)] for r in out.collect()}
     want = {str(r): [float(max(i for i in range(400) if i % 3 == r and i % 7 == c)) for c in range(7)] for r in range(3)}
     assert got == {**want, "合计": [float(max(i for i in range(400) if i % 7 == c)) for c in range(7)]}
+
+
+def test_audit_of_a_wide_table(spark):
+    """Every column is audited, however many have a role."""
+    kinds = ("手机", "邮箱", "金额", "读数")
+    names = [f"{kinds[i % 4]}.{i}" for i in range(60)]
+
+    def value(row, i):
+        if row == i % 9:
+            return None
+        bad = {"手机": "110", "邮箱": "nobody", "金额": "￥1,250", "读数": "about 3"}
+        good = {"手机": "13812345678", "邮箱": "a@example.org", "金额": str(row + 1), "读数": str(row * i)}
+        return (bad if row == 10 + i % 3 else good)[kinds[i % 4]]
+
+    rows = [(r, *[value(r, i) for i in range(60)]) for r in range(20)]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField("id", T.LongType()), *[T.StructField(n, T.StringType()) for n in names]]))
+    found = A.audit(df, "id")
+    got = collections.Counter((r.row_id, r.column, r.rule) for r in found.collect())
+    rule = {"手机": "phone_format", "邮箱": "email_format", "金额": "amount_format", "读数": "format_mismatch"}
+    want = collections.Counter()
+    for i, n in enumerate(names):
+        want[(i % 9, n, "blank_cell")] += 1
+        want[(10 + i % 3, n, rule[kinds[i % 4]])] += 1
+        if kinds[i % 4] == "金额":  # a marked amount is no plain number in a number column either
+            want[(10 + i % 3, n, "format_mismatch")] += 1
+    assert got == want
