@@ -23,7 +23,7 @@ def ring_points(shards: int, points: int, places: int = PLACES) -> list[tuple[in
     return sorted(marks)
 
 
-def place_loads(loads: dict[int, int], shards: int, points: int = 128, slack: float = 0.01, places: int = PLACES) -> dict[int, int]:
+def place_loads(loads: dict[int, int], shards: int, points: int = 128, slack: float = 0.001, places: int = PLACES) -> dict[int, int]:
     """The shard of every loaded place, no shard above ``(1 + slack)`` times the mean load.
 
     A place belongs to the first virtual node clockwise. Places go in by
@@ -48,7 +48,7 @@ def place_loads(loads: dict[int, int], shards: int, points: int = 128, slack: fl
     return out
 
 
-def shard_rows(sheet: DataFrame, shards: int = 8, row_id: str = "row_id", column: str = "value", points: int = 128, slack: float = 0.01) -> DataFrame:
+def shard_rows(sheet: DataFrame, shards: int = 8, row_id: str = "row_id", column: str = "value", points: int = 128, slack: float = 0.001) -> DataFrame:
     """Shard and slot of every row, by consistent hashing with bounded loads on bytes.
 
     The key of a row is its text, so rows of equal text share a shard (null

@@ -149,8 +149,11 @@ def write_archives(
     """
     text = F.coalesce(named(column).cast("string"), F.lit(""))
     rows = sheet.select(named(row_id).alias("row_id"), named(address).cast("string").alias("address"), text.cast("binary").alias("payload"))
-    sample = sheet.select(F.substring(text, 1, SAMPLE_CHARS).alias("s"), F.xxhash64(named(row_id)).alias("h")).orderBy("h", "s").limit(SAMPLE_ROWS)
-    dictionary = train_dictionary([r.s.encode() for r in sample.collect() if r.s])
+    # Rows are chosen by hash alone; only the chosen ones' beginnings leave their tasks, and equal rows as one.
+    marked = sheet.select(F.substring(text, 1, SAMPLE_CHARS).alias("s"), F.xxhash64(named(row_id).cast("string"), text).alias("h"))
+    chosen = [r.h for r in marked.select("h").distinct().orderBy("h").limit(SAMPLE_ROWS).collect()]
+    sample = marked.filter(F.col("h") <= chosen[-1]).groupBy("h").agg(F.min("s").alias("s")).orderBy("h").collect() if chosen else []
+    dictionary = train_dictionary([r.s.encode() for r in sample if r.s])
 
     sized = rows.select("row_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size")).filter(F.col("size") >= least_bytes)
     repeats = sized.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("row_id").alias("holder")).filter("n > 1").select("digest", "holder")
